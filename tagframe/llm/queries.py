@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagframe.llm import chat, common, packing, quality, sentencepieces, sharding
+from tagframe.llm import chat, common, packing, pii, quality, sentencepieces, sharding
+
+
+def op1_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(common.table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,7 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_information_theoretic_pii": op1_information_theoretic_pii,
     "op2_quality_rules": op2_quality_rules,
     "op4_sentencepiece_offsets": op4_sentencepiece_offsets,
     "op5_harmonic_packing": op5_harmonic_packing,
