@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagframe.llm import chat, common, packing, pii, quality, sentencepieces, sharding
+from tagframe.llm import chat, common, hamming, packing, pii, quality, sentencepieces, sharding, toxicity
 
 
 def op1_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(common.table(spark, sf_dir, "documents"))
 
 
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(rows, rows.where(F.col("id") % 50 == 0), k=10)
+
+
 def op4_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -28,6 +33,10 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -54,12 +63,15 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_information_theoretic_pii": op1_information_theoretic_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_sentencepiece_offsets": op4_sentencepiece_offsets,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
     "op9_event_sourced_chat": op9_event_sourced_chat,
     "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.SCORE_SQL,
+    "op3_multi_index_hashing": hamming.TOP_K_SQL,
 }
