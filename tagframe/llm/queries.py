@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagframe.llm import chat, common, hamming, packing, pii, quality, sentencepieces, sharding, toxicity
+from tagframe.llm import chat, common, hamming, jaccard, packing, pii, quality, sentencepieces, sharding, toxicity
 
 
 def op1_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.table(spark, sf_dir, "documents"))
+
+
 def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_sentencepiece_offsets": op4_sentencepiece_offsets,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
     "op9_event_sourced_chat": op9_event_sourced_chat,
     "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
