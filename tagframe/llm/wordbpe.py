@@ -5,8 +5,7 @@ its words in a row. Each Python worker keeps the ids of words it has met and ask
 the library only for new ones. Words of Latin letters, and runs of ASCII
 punctuation behind them, are one pre-token each and need no normalisation but
 lower case, so they go straight to the library's BPE model. All others go through
-the whole tokenizer, many at once, joined by a special token whose id marks where
-each word's ids end.
+the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
-
 #: Words kept per worker in each of two generations; the memory when full is about 200 MB.
 KEPT_WORDS = 500_000
 
@@ -46,79 +43,64 @@ def split_words(text: str) -> list[str]:
     return [w for w in re.split(r"[ \t-\r\x85\xa0]+", text) if w]
 
 
+class Words(dict):
+    """Ids of each word met, in two generations: words met again move to the young one."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
+        self.letters = byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old_words.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+    def learn(self, word: str) -> bytes:
+        head, tail = word, ""
+        if not word.isalpha() and (m := WITH_PUNCTUATION(word)):
+            head, tail = m[1], m[2]
+        low = head.lower()
+        if low.isalpha() and max(low) < LATIN_END and max(head) < LATIN_END:
+            return self.part(low) + self.part(tail) if tail else self.part(low)
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.old_parts.get(part)
+            if ids is None:
+                written = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenize(written)]).tobytes()
+            self.parts[part] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > KEPT_WORDS:
+            self.old_words = dict(self)
+            self.clear()
+        if len(self.parts) > KEPT_WORDS:
+            self.old_parts, self.parts = self.parts, {}
+
+
 @lru_cache(maxsize=2)
-def word_encoder(path: str, separator: str = "<|endoftext|>") -> Callable[[list[str]], list[bytes]]:
+def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> their ids, little-endian unsigned 32-bit."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    model, mark = library.model, library.token_to_id(separator)
-    letters = byte_letters()
-    # Recent words and those of the generation before, which return when they are met again.
-    words: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
-    old: list[dict[str, bytes]] = [{}, {}]
-
-    def direct(part: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(letters))]).tobytes()
-
-    def ask(new: list[str]) -> None:
-        """Words that need the whole tokenizer."""
-        odd = [w for w in new if separator in w]
-        for w in odd:
-            parts[w] = np.array(library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        new = [w for w in new if separator not in w] if odd else new
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
-            ids = np.array(library.encode_batch_fast([separator.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(ids == mark) * 4
-            data, ends = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
-            starts = [0, *(at + 4).tolist()]
-            if len(starts) != len(some):
-                raise ValueError("a word's ids hold the separator")
-            parts.update(zip(some, (data[i:j] for i, j in zip(starts, ends, strict=True)), strict=True))
-
-    def learn(new: list[str]) -> None:
-        split: list[tuple[str, tuple[str, ...]]] = []
-        whole = []
-        for w in new:
-            if (found := old[0].get(w)) is not None:
-                words[w] = found
-                continue
-            head, tail = w, ""
-            if not w.isalpha() and (m := WITH_PUNCTUATION(w)):
-                head, tail = m[1], m[2]
-            low = head.lower()
-            if low.isalpha() and max(low) < LATIN_END and max(head) < LATIN_END:
-                ps = (low, tail) if tail else (low,)
-                for part in ps:
-                    if part not in parts:
-                        parts[part] = old[1].get(part) or direct(part)
-            else:
-                ps = (w,)
-                if w not in parts:
-                    whole.append(w)
-            split.append((w, ps))
-        if whole:
-            ask(whole)
-        for w, ps in split:
-            words[w] = parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]]
+    words = Words(path)
 
     def encode(texts: list[str]) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), 64):
-            cut = [split_words(t or "") for t in texts[k : k + 64]]
-            if len(words) > KEPT_WORDS:
-                old[0] = dict(words)
-                words.clear()
-            if len(parts) > KEPT_WORDS:
-                old[1] = dict(parts)
-                parts.clear()
-            new = list(set().union(*cut).difference(words))
-            if new:
-                learn(new)
-            out += [b"".join([words[w] for w in ws]) for ws in cut]
+        for text in texts:
+            out.append(b"".join(map(words.__getitem__, split_words(text or ""))))
+            words.age()
         return out
 
     return encode
