@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagframe.llm import chat, common, hamming, jaccard, packing, pii, quality, sentencepieces, sharding, toxicity
+from tagframe.llm import chat, common, hamming, jaccard, packing, pii, quality, sentencepieces, sharding, suffixes, toxicity
 
 
 def op1_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(common.table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_event_sourced_chat": op9_event_sourced_chat,
     "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
 }
