@@ -307,3 +307,18 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     named = named.join(least, "component").select("node", "n", "check", "component_id")
     found = every.join(named, ["node", "n", "check"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """One document of each component, that with the smallest doc_id; documents without n-grams all stay.
+
+    Rows that share a doc_id stay or go together, equal texts among them once.
+    """
+    joined = common.stage(join(docs, size), "components-of-documents")
+    own = joined.select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    ids = common.stage(own.groupBy("_id").agg(F.max("first").alias("first"), F.count("*").alias("n")), "document-ids")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    # Those that go and those that repeat an id are fewer than those that stay.
+    alone = docs.join(ids.where("NOT first OR n > 1"), same, "left_anti")
+    repeated = docs.join(ids.where("first AND n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(repeated)
