@@ -16,7 +16,7 @@ and a threshold t:
 Pairs that pass are verified on their whole sets. Documents with equal sets are one
 node. A list of g near copies is not multiplied out: at first its members meet
 only the list's pivot, then components form, and lists whose members are in one
-component are done; the rest gets another pivot, and at last all pairs from
+component are done; the rest gets other pivots, and at last all pairs from
 different components, which is exact whatever the rounds before have found.
 
 N-grams are told apart by 64-bit hashes, nodes by a 64-bit checksum of their set.
@@ -44,8 +44,8 @@ SIZE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 HEAVY_FROM, HEAVY_MOST = 32, 1 << 19
 KEPT_WORDS, KEPT_COUNTS = 400_000, 4_000_000
-#: Rounds with pivots at most, and how many pairs per posting the last round may have before another pivot is tried.
-PIVOT_ROUNDS, PAIRS_PER_POSTING = 8, 4
+#: Lists beyond LONG members get PIVOTS pivots a round, in PIVOT_ROUNDS rounds at most and while one settles a third of their open pairs.
+LONG, PIVOTS, PIVOT_ROUNDS, PIVOT_GAIN = 64, 8, 8, 0.67
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -96,56 +96,51 @@ def trim() -> None:
         WORDS.clear()
 
 
-def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, node, check: size and checksums of each document's set."""
+SCANNED = "doc_id long, n long, node long, check long, shingle long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, size)
-                n.append(len(s))
-                x, y = checksum(s)
-                a.append(x)
-                b.append(y)
-            trim()
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "n", "node", "check"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
 
+def scanned(docs: DataFrame, size: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
 
-def frequent(docs: DataFrame, size: int) -> DataFrame:
-    """shingle, n: counts of n-grams over distinct sets, of each part of the input those that occur twice or more in it.
-
-    So an n-gram of more documents than there are parts is always counted, short by one per part at most.
+    With a null shingle: doc_id, n, node, check, the size and checksums of a document's set. Else:
+    shingle, n, counts of n-grams over distinct sets, of each part of the input those that occur
+    twice or more in it. So an n-gram of more documents than there are parts is always
+    counted, short by one per part at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "node", "check", "shingle"]
         seen: set[int] = set()
         held: list[np.ndarray] = []
-        n = 0
+        total = 0
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             twice = counts > 1
-            return pa.record_batch([pa.array(values[twice].view(np.int64)), pa.array(counts[twice].astype(np.int64))], names=["shingle", "n"])
+            none = pa.nulls(int(twice.sum()), pa.int64())
+            return pa.record_batch([none, pa.array(counts[twice].astype(np.int64)), none, none, pa.array(values[twice].view(np.int64))], names=names)
 
         for batch in batches:
+            n, a, b = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
-                node = checksum(s)[0]
-                if node not in seen:
-                    seen.add(node)
+                x, y = checksum(s)
+                n.append(len(s))
+                a.append(x)
+                b.append(y)
+                if x not in seen:
+                    seen.add(x)
                     held.append(s)
-                    n += len(s)
-                    if n > KEPT_COUNTS:
-                        yield counted()
-                        held, n = [], 0
+                    total += len(s)
             trim()
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+            if total > KEPT_COUNTS:
+                yield counted()
+                held, total = [], 0
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, SCANNED)
 
 
 class Order:
@@ -237,6 +232,13 @@ def promising(pairs: DataFrame) -> DataFrame:
     return counted.where((F.col("overlap") + rest) * (NUMERATOR + DENOMINATOR) >= needed * NUMERATOR).select("x", "y", "nx", "ny")
 
 
+def as_pairs(rows: DataFrame) -> DataFrame:
+    """(node, n, p.node, p.n) -> (x, nx, y, ny) with x < y."""
+    mine, other = F.struct("node", "n"), F.struct(F.col("p.node").alias("node"), F.col("p.n").alias("n"))
+    low, high = F.least(mine, other), F.greatest(mine, other)
+    return rows.select(low["node"].alias("x"), low["n"].alias("nx"), high["node"].alias("y"), high["n"].alias("ny"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold. reps: (node, doc_id) with a document of each node."""
     wanted = common.stage(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct(), "wanted")
@@ -251,36 +253,41 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> D
     return both.where(shared * DENOMINATOR >= union * NUMERATOR).select("x", "y")
 
 
-def links(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that have links."""
-    counts = frequent(docs, size).where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "shingle").limit(HEAVY_MOST).toArrow()
+def links(docs: DataFrame, size: int, reps: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that have links. counts: (shingle, n) as far as known."""
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "shingle").limit(HEAVY_MOST).toArrow()
     heavy = counts.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
     by_list = W.partitionBy("shingle")
     shared = postings(docs, size, heavy, counts.column("n").to_numpy().astype(np.int64))
     shared = shared.withColumn("members", F.count("*").over(by_list)).where(F.col("members") > 1).select("shingle", "node", "n").distinct()
     shared = common.stage(shared, "shared-postings")
-    size_of = shared.count()
-    edges, tested, component = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
+    edges, tested, component, before = None, None, None, None
+    for turn in range(PIVOT_ROUNDS + 2):
         lists = shared.withColumn("c", F.col("node")) if component is None else shared.join(component, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("c"))
         # A list whose members are in one component has nothing more to tell.
         lists = lists.withColumn("low", F.min("c").over(by_list)).withColumn("high", F.max("c").over(by_list)).where("low < high").select("shingle", "node", "n", "c")
         lists = common.stage(lists, "lists")
-        open_pairs = lists.groupBy("shingle", "c").count().groupBy("shingle").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left = open_pairs.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.lit(0.0)).alias("n")).first()["n"]
-        if left == 0:
-            break
-        last = turn == PIVOT_ROUNDS or (turn > 0 and left <= PAIRS_PER_POSTING * size_of)
+        # Pairs from different components in the long lists: m members and the members of each component give them.
+        by_component = lists.groupBy("shingle", "c").agg(F.count("*").alias("k"))
+        left = by_component.groupBy("shingle").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same")).where(F.col("m") > LONG)
+        left = left.agg(F.sum(F.col("m") * F.col("m") - F.col("same"))).first()[0] or 0
+        last = turn > 0 and (turn > PIVOT_ROUNDS or left == 0 or (before is not None and left > PIVOT_GAIN * before))
+        before = left if turn else None
         if last:
             x = lists.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
             y = lists.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-            pairs = x.join(y, "shingle").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
+            apart = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sizes_fit(F.col("nx"), F.col("ny"))
+            pairs = promising(x.join(y, "shingle").where(apart))
+        elif turn == 0:
+            # The pivot is the member that a hash puts first, in all lists the same if it is in them.
+            first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "c")).over(by_list)
+            pairs = promising(as_pairs(lists.withColumn("p", first).where(F.col("c") != F.col("p.c"))))
         else:
-            # The pivot is the member that a hash of the turn puts first, in all lists the same if it is in them.
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")).over(by_list)
-            pairs = lists.withColumn("p", first).where(F.col("c") != F.col("p.c"))
-            pairs = pairs.select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y"), F.when(F.col("node") < F.col("p.node"), F.col("n")).otherwise(F.col("p.n")).alias("nx"), F.when(F.col("node") < F.col("p.node"), F.col("p.n")).otherwise(F.col("n")).alias("ny"))
-        pairs = promising(pairs.select("x", "nx", "y", "ny"))
+            long = lists.withColumn("m", F.count("*").over(by_list)).where(F.col("m") > LONG)
+            rank = F.row_number().over(by_list.orderBy(F.xxhash64("node", "shingle", F.lit(turn))))
+            pivots = long.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select(F.col("shingle").alias("s"), F.struct("node", "n", "c").alias("p"))
+            pairs = as_pairs(long.join(pivots, (F.col("shingle") == F.col("s")) & (F.col("c") != F.col("p.c"))))
+            pairs = pairs.where(sizes_fit(F.col("nx"), F.col("ny"))).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = common.stage(pairs, "pairs")
@@ -299,9 +306,10 @@ def links(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    every = common.stage(nodes(docs, size), "nodes")
+    rows = common.stage(scanned(docs, size), "nodes")
+    every = rows.where("shingle IS NULL").select("doc_id", "n", "node", "check")
     classes = common.stage(every.where("n > 0").groupBy("node", "n", "check").agg(F.min("doc_id").alias("least")), "classes")
-    component = links(docs, size, classes.select("node", F.col("least").alias("doc_id")))
+    component = links(docs, size, classes.select("node", F.col("least").alias("doc_id")), rows.where("shingle IS NOT NULL").select("shingle", "n"))
     named = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "n", "check", "component_id")
