@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: catalogues of codes, binary decoding and encoding, conversions, tile geometry."""

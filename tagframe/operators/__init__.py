@@ -1 +1 @@
-"""See the package README."""
+"""Operators on tables of directories: parsing, lookups, image metadata."""

@@ -1 +1 @@
-"""See the package README."""
+"""Queries over the benchmark tables, with the same results stated in SQL."""

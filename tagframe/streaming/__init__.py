@@ -1 +1 @@
-"""See the package README."""
+"""Files as a stream: new files are parsed as they arrive, with the operators for tables."""
