@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tagframe.functions import binary as B
 from tagframe.functions.catalog import OFFSET_TYPES, SIGNED, TYPE, UNSIGNED, size_of
+from tagframe.functions.geometry import whole_div
 
 SIZES_DIFFER = "InconsistentSizesEncountered"
 LIMITS = "LimitsExceeded"
@@ -154,17 +155,11 @@ def to_text(entry: Column) -> Column:
 def _display_rational(h: Column) -> Column:
     """Three decimals, cut off; none if they are zero. Null for a denominator of 0."""
     num, den = B.unsigned(F.substring(h, 1, 8), 4), B.unsigned(F.substring(h, 9, 8), 4)
-    q = _div(num * 1000, den)
-    rest, frac = _div(q, F.lit(1000)), q % 1000
+    q = whole_div(num * 1000, den)
+    rest, frac = whole_div(q, F.lit(1000)), q % 1000
     return F.when(frac != 0, F.concat(rest.cast("string"), F.lit("."), F.lpad(frac.cast("string"), 3, "0"))).otherwise(rest.cast("string"))
 
 
-def _div(a: Column, b: Column) -> Column:
-    """Whole division of non-negative BIGINTs; null for a divisor of 0. Exact: decimals of 20 digits, no doubles."""
-    wide = lambda c: c.cast("decimal(20,0)")
-    return F.floor(F.try_divide(wide(a - F.try_mod(a, b)), wide(b))).cast("bigint")
-
-
 def _display_srational(h: Column) -> Column:
     return F.concat_ws("/", B.signed(F.substring(h, 1, 8), 4), B.signed(F.substring(h, 9, 8), 4))
 
@@ -211,17 +206,24 @@ def to_values(entry: Column) -> Column:
 
 def display(entry: Column) -> Column:
     """STRUCT<value: string, error> of a single value or text; denominators of 0 and lists have no display."""
-    code, h = entry["type_code"], _hex(entry)
-    values = to_values(entry)
-    v = F.try_element_at(values["value"], F.lit(1))
+    code, h, one = entry["type_code"], _hex(entry), entry["count"] == 1
+    ascii_, ratio = code == TYPE["ASCII"], code == TYPE["RATIONAL"]
     shown = (
-        F.when(code == TYPE["RATIONAL"], _display_rational(h))
+        F.when(ratio, _display_rational(h))
         .when(code == TYPE["SRATIONAL"], _display_srational(h))
-        .otherwise(F.coalesce(v["s"], v["u"].cast("string"), v["i"].cast("string"), v["f"].cast("string")))
+        .when(ascii_, F.when(one, F.lit("")).otherwise(_text(entry)))
+        .when(code == TYPE["FLOAT"], B.float32(h).cast("string"))
+        .when(code == TYPE["DOUBLE"], B.float64(h).cast("string"))
+        .when(code.isin(*SIGNED), signed_value(entry).cast("string"))
+        .otherwise(unsigned_value(entry).cast("string"))
     )
-    listed = (entry["count"] != 1) & (code != TYPE["ASCII"])
-    zero = (code == TYPE["RATIONAL"]) & (F.substring(h, 9, 8) == "00000000")
-    return checked(entry, [(values["error"].isNotNull(), values["error"]), (listed, "ListHasNoDisplay"), (zero, "DivisionByZero")], shown)
+    errors = [
+        (~one & ~ascii_, "ListHasNoDisplay"),
+        (code.isin(*OFFSET_TYPES), IS_DIRECTORY),
+        (ascii_ & F.when(one, F.substring(h, 1, 2) != "00").otherwise(_not_closed(entry)), INVALID),
+        (ratio & (F.substring(h, 9, 8) == "00000000"), "DivisionByZero"),
+    ]
+    return checked(entry, errors, shown)
 
 
 def list_type(type_codes: Column) -> Column:

@@ -10,9 +10,7 @@ from tagframe.functions.binary import as_column
 
 def whole_div(a: Column, b: Column) -> Column:
     """a // b for non-negative whole numbers, null for b = 0."""
-    wide = lambda c: as_column(c).cast("decimal(20,0)")
-    a, b = as_column(a).cast("bigint"), as_column(b).cast("bigint")
-    return F.floor(F.try_divide(wide(a - F.try_mod(a, b)), wide(b))).cast("bigint")
+    return F.call_function("div", as_column(a).cast("bigint"), F.nullif(as_column(b).cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def tiles_across(width: Column, tile_width: Column) -> Column:
