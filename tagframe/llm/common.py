@@ -67,6 +67,13 @@ def drop_staged(spark: SparkSession) -> None:
     drop_path(spark, f"{shared_folder(spark)}/tagframe-{spark.sparkContext.applicationId}")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of ``rows``, unless the session says otherwise: Spark's 10,000 long texts need much memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

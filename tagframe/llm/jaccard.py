@@ -43,7 +43,7 @@ SIZE = 5
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 3, 4
 HEAVY_FROM, HEAVY_MOST = 32, 1 << 19
-KEPT_WORDS, KEPT_COUNTS = 400_000, 4_000_000
+KEPT_WORDS, KEPT_COUNTS = 150_000, 2_000_000
 #: Lists beyond LONG members get PIVOTS pivots a round, in PIVOT_ROUNDS rounds at most and while one settles a third of their open pairs.
 LONG, PIVOTS, PIVOT_ROUNDS, PIVOT_GAIN = 64, 8, 8, 0.67
 
@@ -305,6 +305,7 @@ def links(docs: DataFrame, size: int, reps: DataFrame, counts: DataFrame) -> Dat
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+    common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     rows = common.stage(scanned(docs, size), "nodes")
     every = rows.where("shingle IS NULL").select("doc_id", "n", "node", "check")

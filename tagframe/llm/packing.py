@@ -101,6 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     four for each shuffle partition.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     buckets = buckets or 4 * common.shuffle_width(spark)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     cut = common.stage(pieces(docs, tokenizer, capacity, end_id, keep_ids).select(*columns), "pieces")

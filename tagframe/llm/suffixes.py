@@ -319,6 +319,7 @@ def key_of(column: str = "text"):
 
 def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(text_key, ranges) of texts that lose part of their bytes, and (text_key) of those that lose all."""
+    common.bounded_batches(docs.sparkSession)
     texts = docs.select(key_of().alias("text_key"), common.text_or_empty().alias("text"))
     counted = texts.where(F.octet_length("text") >= length).groupBy("text_key").agg(F.count("*").alias("n"))
     copies = common.stage(counted.where("n > 1").select("text_key"), "copied-texts")
