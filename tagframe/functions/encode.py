@@ -23,7 +23,7 @@ FLOATS = {"FLOAT": 4, "DOUBLE": 8}
 def hex_of_integer(value: Column, width: int) -> Column:
     """Big-endian hex of the low ``width`` bytes; 8 bytes take a DECIMAL(20,0) as unsigned, a BIGINT as it is."""
     if width == 8:
-        return F.lpad(F.conv(value.cast("string"), 10, 16), 16, "0")
+        return F.when(value < 0, F.hex(value.cast("bigint"))).otherwise(F.lpad(F.conv(value.cast("string"), 10, 16), 16, "0"))
     return F.right(F.lpad(F.hex(value.cast("bigint")), F.lit(16), F.lit("0")), F.lit(2 * width))
 
 

@@ -90,7 +90,7 @@ def directory_bytes(buf: Column, start, little, big: bool) -> Column:
     start = B.as_column(start)
     n = F.coalesce(B.read_unsigned(buf, start, head, little).cast("decimal(20,0)"), F.lit(0))
     length = F.least(n * stride + head, F.lit((1 << 31) - 1)).cast("int")
-    return F.substring(buf, (start + 1).cast("int"), length)
+    return F.substring(buf, (start.cast("decimal(20,0)") + 1).try_cast("int"), length)
 
 
 def last_of_each_tag(entries: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,9 +52,10 @@ def chain(content: Column, first: Column, little: Column, big: bool, most: int =
     head, stride, width = (8, 20, 8) if big else (2, 12, 4)
 
     def step(state: Column, _: Column) -> Column:
+        # The optimiser may run this on files of the other kind before they are filtered out, so no cast may fail.
         at = state["next"]
-        n = B.read_unsigned(content, at.cast("int"), head, little).cast("bigint")
-        nxt = B.read_unsigned(content, (at + head + n * stride).cast("int"), width, little).cast("bigint")
+        n = B.read_unsigned(content, at.try_cast("int"), head, little).try_cast("int").cast("bigint")
+        nxt = B.read_unsigned(content, (at.try_cast("int").cast("bigint") + head + n * stride).try_cast("int"), width, little).try_cast("bigint")
         error = F.when(F.array_contains(state["offsets"], at), F.lit(CYCLE)).when(n.isNull(), F.lit(directory.SHORT))
         going = (at != 0) & state["error"].isNull()
         walked = F.struct(
@@ -64,7 +65,7 @@ def chain(content: Column, first: Column, little: Column, big: bool, most: int =
         )
         return F.when(going, walked).otherwise(state)
 
-    start = F.struct(F.array().cast("array<bigint>").alias("offsets"), F.coalesce(first.cast("bigint"), F.lit(0)).cast("bigint").alias("next"), F.lit(None).cast("string").alias("error"))
+    start = F.struct(F.array().cast("array<bigint>").alias("offsets"), F.coalesce(first.try_cast("bigint"), F.lit(0).cast("bigint")).alias("next"), F.lit(None).cast("string").alias("error"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: F.struct(s["offsets"].alias("offsets"), s["error"].alias("error")))
 
 
