@@ -70,17 +70,20 @@ def cell_of(key: Column, cell_bits: int = CELL_BITS) -> Column:
 
 
 def shard(rows: DataFrame, key: str, shards: int, virtual_nodes: int = VIRTUAL_NODES, cell_bits: int = CELL_BITS) -> DataFrame:
-    """``rows`` with shard, slot (gapless from 0 in each shard) and home_shard, which an unbounded ring would give."""
+    """``rows`` with shard, slot (gapless from 0 in each shard) and home_shard, which an unbounded ring would give.
+
+    Columns of these three names are replaced.
+    """
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot", "home_shard")
     cell = cell_of(F.col(key), cell_bits)
     # At most 2**cell_bits rows.
-    counts = {r["cell"]: r["n"] for r in rows.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(walk(counts, shards, virtual_nodes, cell_bits), "cell int, shard int, first long, end long, slot0 long")
-    owner = ring(shards, virtual_nodes, cell_bits)
-    others = [c for c in rows.columns if c != key]
-    ranked = rows.withColumn("cell", cell)
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64(key), key, *others)) - 1)
-    homes = spark.createDataFrame(list(enumerate(owner)), "cell int, home_shard int")
-    plan = plan.join(F.broadcast(homes), "cell")
-    found = ranked.join(F.broadcast(plan), (ranked["cell"] == plan["cell"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    return found.select(*[rows[c] for c in rows.columns], "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"), "home_shard")
+    counts = {r["_cell"]: r["_n"] for r in rows.select(cell.alias("_cell")).groupBy("_cell").agg(F.count("*").alias("_n")).collect()}
+    plan = spark.createDataFrame(walk(counts, shards, virtual_nodes, cell_bits), "_at int, shard int, _first long, _end long, _slot long")
+    homes = spark.createDataFrame(list(enumerate(ring(shards, virtual_nodes, cell_bits))), "_at int, home_shard int")
+    plan = plan.join(F.broadcast(homes), "_at")
+    order = W.partitionBy("_cell").orderBy(F.xxhash64(key), key, *[c for c in rows.columns if c != key])
+    ranked = rows.withColumn("_cell", cell).withColumn("_rank", F.row_number().over(order) - 1)
+    mine = (F.col("_cell") == F.col("_at")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
+    found = ranked.join(F.broadcast(plan), mine)
+    return found.select(*rows.columns, "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"), "home_shard")
