@@ -172,7 +172,7 @@ class Order:
 
 
 def postings(docs: DataFrame, size: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """shingle, node, n for the prefix of each distinct set (once for each part of the input that holds it)."""
+    """shingle, node, n, place for the prefix of each distinct set (once for each part of the input that holds it)."""
     packed = (heavy.tobytes(), counts.tobytes())
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # HEAVY_MOST entries of 16 bytes at most
 
@@ -193,11 +193,16 @@ def postings(docs: DataFrame, size: int, heavy: np.ndarray, counts: np.ndarray)
             if parts:
                 times = [len(p) for p in parts]
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))],
-                    names=["shingle", "node", "n"],
+                    [
+                        pa.array(np.concatenate(parts).view(np.int64)),
+                        pa.array(np.repeat(np.array(ids, np.int64), times)),
+                        pa.array(np.repeat(np.array(sizes, np.int64), times)),
+                        pa.array(np.concatenate([np.arange(t) for t in times])),
+                    ],
+                    names=["shingle", "node", "n", "place"],
                 )
 
-    return docs.mapInArrow(run, "shingle long, node long, n long")
+    return docs.mapInArrow(run, "shingle long, node long, n long, place long")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -223,13 +228,38 @@ def prefix_length(n: Column) -> Column:
     return n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1
 
 
-def promising(pairs: DataFrame) -> DataFrame:
-    """Pairs (x, nx, y, ny) per column -> those whose counted overlap and rest can reach the threshold, once each."""
-    counted = pairs.where(sizes_fit(F.col("nx"), F.col("ny"))).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("overlap"))
+def enough(overlap: Column, nx: Column, ny: Column) -> Column:
+    return overlap * (NUMERATOR + DENOMINATOR) >= (nx + ny) * NUMERATOR
+
+
+def promising(pairs: DataFrame, uncounted: Column | None = None) -> DataFrame:
+    """Pairs (x, nx, y, ny) per column -> those whose overlap and rest can reach the threshold, once each. uncounted: what columns left out may add."""
+    slack = F.lit(0) if uncounted is None else uncounted
+    counted = pairs.where(sizes_fit(F.col("nx"), F.col("ny"))).groupBy("x", "y", "nx", "ny").agg((F.count("*") + F.max(slack)).alias("overlap"))
     # Behind the shorter rest nothing more can be shared.
     rest = F.greatest(F.col("nx") - prefix_length(F.col("nx")), F.col("ny") - prefix_length(F.col("ny")))
-    needed = F.col("nx") + F.col("ny")
-    return counted.where((F.col("overlap") + rest) * (NUMERATOR + DENOMINATOR) >= needed * NUMERATOR).select("x", "y", "nx", "ny")
+    return counted.where(enough(F.col("overlap") + rest, F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny")
+
+
+def apart(lists: DataFrame) -> DataFrame:
+    """All pairs from different components of each list that may be similar, once each.
+
+    In a long list a pair appears only where this column can be the first that both sets
+    share: what is left in both sets from there on must reach the needed overlap. A
+    similar pair appears at its first common column in any case. The columns so left
+    out are allowed for in the count, with the number that both sets have in long lists.
+    """
+    lists = lists.withColumn("long", F.count("*").over(W.partitionBy("shingle")) > LONG)
+    in_long = lists.where("long").groupBy("node").agg(F.count("*").alias("k"))
+    lists = lists.join(in_long, "node", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    x = lists.select("shingle", "long", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "c", "place", "k")])
+    y = lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "c", "place", "k")])
+    nx, ny = F.col("n_x"), F.col("n_y")
+    first = enough(F.least(nx - F.col("place_x"), ny - F.col("place_y")), nx, ny)
+    fit = (F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & sizes_fit(nx, ny) & (~F.col("long") | first)
+    pairs = x.join(y, "shingle").where(fit)
+    pairs = pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), nx.alias("nx"), ny.alias("ny"), F.least("k_x", "k_y").alias("slack"))
+    return promising(pairs, F.col("slack"))
 
 
 def as_pairs(rows: DataFrame) -> DataFrame:
@@ -259,13 +289,13 @@ def links(docs: DataFrame, size: int, reps: DataFrame, counts: DataFrame) -> Dat
     heavy = counts.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
     by_list = W.partitionBy("shingle")
     shared = postings(docs, size, heavy, counts.column("n").to_numpy().astype(np.int64))
-    shared = shared.withColumn("members", F.count("*").over(by_list)).where(F.col("members") > 1).select("shingle", "node", "n").distinct()
+    shared = shared.withColumn("members", F.count("*").over(by_list)).where(F.col("members") > 1).select("shingle", "node", "n", "place").distinct()
     shared = common.stage(shared, "shared-postings")
     edges, tested, component, before = None, None, None, None
     for turn in range(PIVOT_ROUNDS + 2):
-        lists = shared.withColumn("c", F.col("node")) if component is None else shared.join(component, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("c"))
+        lists = shared.withColumn("c", F.col("node")) if component is None else shared.join(component, "node", "left").select("shingle", "node", "n", "place", F.coalesce("component", "node").alias("c"))
         # A list whose members are in one component has nothing more to tell.
-        lists = lists.withColumn("low", F.min("c").over(by_list)).withColumn("high", F.max("c").over(by_list)).where("low < high").select("shingle", "node", "n", "c")
+        lists = lists.withColumn("low", F.min("c").over(by_list)).withColumn("high", F.max("c").over(by_list)).where("low < high").select("shingle", "node", "n", "place", "c")
         lists = common.stage(lists, "lists")
         # Pairs from different components in the long lists: m members and the members of each component give them.
         by_component = lists.groupBy("shingle", "c").agg(F.count("*").alias("k"))
@@ -274,10 +304,7 @@ def links(docs: DataFrame, size: int, reps: DataFrame, counts: DataFrame) -> Dat
         last = turn > 0 and (turn > PIVOT_ROUNDS or left == 0 or (before is not None and left > PIVOT_GAIN * before))
         before = left if turn else None
         if last:
-            x = lists.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-            y = lists.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-            apart = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sizes_fit(F.col("nx"), F.col("ny"))
-            pairs = promising(x.join(y, "shingle").where(apart))
+            pairs = apart(lists)
         elif turn == 0:
             # The pivot is the member that a hash puts first, in all lists the same if it is in them.
             first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "c")).over(by_list)
