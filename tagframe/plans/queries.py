@@ -346,7 +346,7 @@ def type_mismatch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = {f"u{b}": lambda x, b=b: convert.to_unsigned(x, b) for b in (8, 16, 32, 64)} | {f"i{b}": lambda x, b=b: convert.to_signed(x, b) for b in (8, 16, 32, 64)} | {"f32": convert.to_f32, "f64": convert.to_f64}
     made = t.select("n_nationkey", "type_code", e.alias("e"))
     found = F.array(*[F.struct(F.lit(n).alias("target"), f(c("e"))["error"].alias("error")) for n, f in convs.items()])
-    return made.select("n_nationkey", "type_code", F.inline(found))
+    return made.select("n_nationkey", "type_code", F.explode(found).alias("x")).select("n_nationkey", "type_code", "x.target", "x.error")
 
 
 @query("SELECT c_custkey, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS f32, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS f64_of_f32, c_acctbal AS f64 FROM customer")
