@@ -8,11 +8,16 @@ separator), at a price. Viterbi decoding finds the path that a character trigram
 model, with a word model at its end, likes best. Words without such signs have one
 path only and stay as they are.
 
+Words are counted over all documents and stay a distributed table. Of the models
+only the trigrams, whose number is bounded by the alphabet, go to the driver and
+to the workers. Each suspect token of the corpus is decoded once: the last
+contexts of its lattice give its candidates, which are joined with the words.
+
 Scores come from a logistic regression over words and word beginnings of the
-restored text. The language model and the regression are trained on labelled
-documents outside the held-out fold: at most ``sample`` of them (a documented
-bound, 8,000), chosen by a hash of doc_id, since they go to the driver. Labels,
-language, source and doc_id are no inputs of a score.
+restored text. It alone is trained on a sample: labelled documents outside the
+held-out fold, at most ``sample`` of them (a documented bound, 8,000), chosen by a
+hash of doc_id, since they go to the driver. Labels, language, source and doc_id
+are no inputs of a score.
 
 Inputs: null text counts as empty and gets the score of no evidence; of several
 labels of one doc_id the highest counts; repeated rows get equal scores; without
@@ -22,13 +27,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 from tagframe.llm import common
 
 SAMPLE, FEATURES, THRESHOLD = 8_000, 1_500, 0.7
-KEPT_WORDS = 300_000
+KEPT_WORDS, SALTS = 300_000, 16
 
 #: Letters that signs stand for in leetspeak (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -55,30 +60,28 @@ LEET_PRICE, REPEAT_PRICE, DROP_PRICE, TWICE_PRICE, WILD_PRICE = -0.7, -0.7, -0.3
 
 
 class Channel:
-    """The character model and the decoder."""
-
-    def __init__(self, words: Counter):
-        counts: Counter = Counter()
-        for word, n in words.items():
-            s = f"^^{word}$"
-            for k in range(2, len(s)):
-                counts[s[k - 2 : k + 1]] += n
+    """The character model and the decoder; ``counts`` are the trigrams of the words, if counted elsewhere."""
+
+    def __init__(self, words: Counter, counts: Counter | None = None):
+        if counts is None:
+            counts = trigrams(words.items())
         contexts: Counter = Counter()
         for gram, n in counts.items():
             contexts[gram[:2]] += n
         self.alphabet = sorted({g[2] for g in counts if g[2].isascii() and g[2].isalpha()})
         self.letters = len({g[2] for g in counts}) + 1
-        self.grams = {g: math.log((n + 0.1) / (contexts[g[:2]] + 0.1 * self.letters)) for g, n in counts.items() if n > 1}
-        self.unseen = {c: math.log(0.1 / (n + 0.1 * self.letters)) for c, n in contexts.items() if n > 1}
+        self.grams = {g: math.log((n + 0.1) / (contexts[g[:2]] + 0.1 * self.letters)) for g, n in counts.items()}
+        self.unseen = {c: math.log(0.1 / (n + 0.1 * self.letters)) for c, n in contexts.items()}
         self.never = math.log(1 / self.letters) - 2
         total = sum(words.values()) or 1
-        self.words = {w: math.log(n / total) for w, n in words.items() if n > 2}
+        self.words = {w: math.log(n / total) for w, n in words.items()}
 
     def step(self, context: str, letter: str) -> float:
         found = self.grams.get(context + letter)
         return self.unseen.get(context, self.never) if found is None else found
 
-    def decode(self, token: str) -> str:
+    def candidates(self, token: str) -> list[tuple[float, str]]:
+        """The best path to each context that the lattice can end in: its price under the character model, and its letters."""
         paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         for k, sign in enumerate(token):
             options = [(c, LEET_PRICE) for c in LEET.get(sign, "")]
@@ -103,42 +106,56 @@ class Channel:
                     offer(context[1] + c, price + extra + self.step(context, c), said + c)
             # The beam: contexts are pairs of letters, so this drops only hopeless ones.
             paths = longer if len(longer) <= 24 else dict(sorted(longer.items(), key=lambda x: -x[1][0])[:24])
-        best = max(((p + self.step(c, "$") if s not in self.words else max(p + self.step(c, "$"), self.words[s] + TWICE_PRICE * len(token))), s) for c, (p, s) in paths.items()) if paths else (0, "")
-        return best[1]
-
-
-def restored(text: str, channel: Channel, seen: dict[str, tuple[str, ...]]) -> set[str]:
-    """The words of a text, lower case and without edges; suspect ones also as restored."""
-    out: set[str] = set()
-    for token in tokens(text):
-        words = seen.get(token)
-        if words is None:
-            words = seen[token] = restore(token, channel)
-        out.update(words)
-    out.discard("")
-    return out
+        return [(p + self.step(c, "$"), s) for c, (p, s) in paths.items()]
+
+    def decode(self, token: str) -> str:
+        """The best candidate; log n / total of a known word may beat its price."""
+        return max(((max(p, self.words[s] + TWICE_PRICE * len(token)) if s in self.words else p, s) for p, s in self.candidates(token)), default=(0.0, ""))[1]
+
+
+def trigrams(words: Iterable[tuple[str, int]]) -> Counter:
+    counts: Counter = Counter()
+    for word, n in words:
+        s = f"^^{word}$"
+        for k in range(2, len(s)):
+            counts[s[k - 2 : k + 1]] += n
+    return counts
 
 
 def tokens(text: str) -> set[str]:
     """What stands between white space, and runs of single letters in one."""
     low = text.lower()
-    found = set(low.split())
-    found.update(run.replace(" ", ".") for run in SPACED(low))
-    return found
+    return {*low.split(), *spaced(low)}
 
 
-def restore(token: str, channel: Channel) -> tuple[str, ...]:
-    """The word of a token and, if that is suspect, what it was before its disguise."""
+def spaced(low: str) -> list[str]:
+    return [run.replace(" ", ".") for run in SPACED(low)]
+
+
+def parts(token: str) -> tuple[str, str | None]:
+    """The word of a token and, if that is suspect, what to decode."""
     bare = token.strip(EDGES)
     if bare.isalpha() and token[0].isalpha() and not TRIPLE(bare):
-        return (bare,)
+        return bare, None
     wide = token.strip(OUTER)
     # One sign before the word may be its first letter; signs behind it are its edge if several.
     if len(wide) > 1 and wide[0] in LEET and not wide[0].isalnum() and wide[1].isalpha():
         bare = wide[0] + bare
     if SPLIT(bare) or DISGUISED(bare):
-        return (bare.strip(EDGES), channel.decode(bare))
-    return (bare,)
+        return bare.strip(EDGES), bare
+    return bare, None
+
+
+def restore(token: str, channel: Channel) -> tuple[str, ...]:
+    """The word of a token and, if that is suspect, what it was before its disguise."""
+    word, suspect = parts(token)
+    return (word,) if suspect is None else (word, channel.decode(suspect))
+
+
+def clean(token: str) -> str | None:
+    """The word of a token as the language models count it."""
+    word = token.strip(EDGES)
+    return word if word.isalpha() and not DISGUISED(word) else None
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -152,17 +169,25 @@ def features(words: Iterable[str]) -> set[str]:
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: list[int], most: int = FEATURES):
-        words: Counter = Counter()
-        for t in texts:
-            words.update(w for w in (x.strip(EDGES) for x in t.lower().split()) if w.isalpha() and not DISGUISED(w))
-        self.channel = Channel(words)
-        del words
+    """The regression. ``known`` has what suspect tokens were; without it the texts are the whole corpus."""
+
+    def __init__(self, texts: list[str], labels: list[int], most: int = FEATURES, known: dict[str, str] | None = None):
+        self.channel = None
+        if known is None:
+            words: Counter = Counter()
+            for t in texts:
+                words.update(w for w in map(clean, t.lower().split()) if w)
+            self.channel = Channel(words)
+        meant = cache(self.channel.decode) if known is None else known.__getitem__
         positive, total = Counter(), Counter()
-        seen: dict[str, tuple[str, ...]] = {}
         sets = []
         for t, y in zip(texts, labels, strict=True):
-            found = restored(t, self.channel, seen)
+            found: set[str] = set()
+            for word, suspect in map(parts, tokens(t)):
+                found.add(word)
+                if suspect is not None:
+                    found.add(meant(suspect))
+            found.discard("")
             sets.append(found)
             f = features(found)
             total.update(f)
@@ -197,6 +222,7 @@ class Model:
         self.bias = float(w[-1])
 
     def score(self, text: str, seen: dict[str, tuple[str, ...]]) -> float:
+        """The score of a text where the texts of training are the whole corpus."""
         found: set[str] = set()
         for token in tokens(text):
             known = seen.get(token)
@@ -232,46 +258,137 @@ def fold(name: str = "doc_id"):
     return F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(3))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != 1))
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(rows), "doc_id")  # at most ``sample`` rows
-    got = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
-    return Model(got.column("text").to_pylist(), [int(v > 0) for v in got.column("toxic").to_pylist()])
+def gathered(docs: DataFrame) -> DataFrame:
+    """(suspect, token, n): how often each clean word stands in all documents, and each suspect token once or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        runs: set[str] = set()
+
+        def said() -> pa.RecordBatch:
+            out: Counter = Counter()
+            for token, n in met.items():
+                if word := clean(token):
+                    out[False, word] += n
+            for token in runs.union(met):
+                if (suspect := parts(token)[1]) is not None:
+                    out[True, suspect] += 1
+            met.clear()
+            runs.clear()
+            return pa.record_batch([pa.array([k[0] for k in out], pa.bool_()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["suspect", "token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                low = text.lower()
+                met.update(low.split())
+                runs.update(spaced(low))
+                if len(met) + len(runs) > KEPT_WORDS:
+                    yield said()
+        yield said()
 
-LOADED: dict[str, tuple[Model, dict]] = {}
+    counts = docs.select(common.text_or_empty().alias("text")).mapInArrow(run, "suspect boolean, token string, n long")
+    return common.stage(counts.groupBy("suspect", "token").agg(F.sum("n").alias("n")), "toxicity-words")
 
 
-def loaded(key: str, packed: bytes) -> tuple[Model, dict]:
-    """The model and the words it has met, kept while the worker lives."""
-    if key not in LOADED:
-        LOADED.clear()
-        LOADED[key] = (pickle.loads(zlib.decompress(packed)), {})
-    model, seen = LOADED[key]
-    if len(seen) > KEPT_WORDS:
-        seen.clear()
-    return model, seen
+def counted(words: DataFrame) -> Counter:
+    """The trigrams of the words (token, n); at most the cube of the alphabet, so they go to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = trigrams(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
+    got = words.select("token", "n").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return Counter(dict(sorted(zip(got.column("gram").to_pylist(), got.column("n").to_pylist(), strict=True))))
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every document."""
-    packed = zlib.compress(pickle.dumps(model))
-    key = hashlib.sha256(packed).hexdigest()
+
+def decoded(found: DataFrame) -> DataFrame:
+    """(token, meant) of every suspect token of gathered(): its best candidate under the counts of all documents."""
+    words = found.where("NOT suspect").select(F.col("token").alias("said"), "n")
+    counts = counted(found.where("NOT suspect"))
+    packed = zlib.compress(pickle.dumps(Channel(Counter(), counts)))
+    # Each word has one trigram that ends it.
+    total = max(sum(n for g, n in counts.items() if g[2] == "$"), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = pickle.loads(zlib.decompress(packed))
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                m, seen = loaded(key, packed)
-                out.append(m.score(text, seen))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            out = [(t, s, p) for t in batch.column(0).to_pylist() for p, s in channel.candidates(t)]
+            yield pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["token", "said", "price"])
+
+    paths = found.where("suspect").select("token").mapInArrow(run, "token string, said string, price double")
+    known = F.log(F.col("n") / F.lit(total)) + F.lit(TWICE_PRICE) * F.length("token")
+    # greatest() passes over the null of an unknown word.
+    best = paths.join(words, "said", "left").groupBy("token").agg(F.max(F.struct(F.greatest("price", known).alias("price"), "said")).alias("best"))
+    return common.stage(best.select("token", F.col("best.said").alias("meant")), "toxicity-decoded")
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, known: DataFrame | None = None) -> Model:
+    """The regression over the sample; ``known`` is decoded() of the corpus."""
+    if known is None:
+        known = decoded(gathered(docs))
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != 1))
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(rows), "doc_id")  # at most ``sample`` rows
+    got = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
+    texts = got.column("text").to_pylist()
+    wanted = sorted({s for t in texts for _, s in map(parts, tokens(t)) if s is not None})
+    meant = known.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"token": pa.array(wanted, pa.string())}))), "token", "left_semi").toArrow()  # tokens of the sample
+    said = dict(zip(meant.column("token").to_pylist(), meant.column("meant").to_pylist(), strict=True))
+    return Model(texts, [int(v > 0) for v in got.column("toxic").to_pylist()], known=said)
+
+
+def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
+    """doc_id and score of every document; ``known`` is decoded() of the corpus."""
+    names = sorted(model.weights)
+    place = {f: k for k, f in enumerate(names)}
+
+    def places(words: Iterable[str]) -> list[int]:
+        return sorted(place[f] for f in features(words) if f in place)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[list[int], str | None]] = {}
+        for batch in batches:
+            plain, suspects = [], []
+            for text in batch.column(1).to_pylist():
+                found, open_ = set(), set()
+                for token in tokens(text):
+                    met = seen.get(token)
+                    if met is None:
+                        word, suspect = parts(token)
+                        met = seen[token] = (places([word]), suspect)
+                    found.update(met[0])
+                    if met[1] is not None:
+                        open_.add(met[1])
+                plain.append(sorted(found))
+                suspects.append(sorted(open_))
+                if len(seen) > KEPT_WORDS:
+                    seen.clear()
+            yield pa.record_batch([batch.column(0), pa.array(plain, pa.list_(pa.int32())), pa.array(suspects, pa.list_(pa.string()))], names=["doc_id", "plain", "suspects"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(t, f) for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (f := places([m]))]
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], names=["token", "found"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(read, "doc_id long, plain array<int>, suspects array<string>")
+    # Staged, as the numbers of its rows would change if it were read anew.
+    rows = common.stage(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+    # A token may stand in very many documents: its rows go to several partitions.
+    open_ = rows.select("row", F.explode("suspects").alias("token")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    telling = known.select("token", "meant").mapInArrow(weigh, "token string, found array<int>")
+    telling = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    more = open_.join(telling, ["token", "salt"]).groupBy("row").agg(F.flatten(F.collect_list("found")).alias("more"))
+    every = F.array_sort(F.array_distinct(F.concat("plain", F.coalesce("more", F.array().cast("array<int>")))))
+    weights = F.array(*[F.lit(model.weights[f]) for f in names]).cast("array<double>")
+    z = F.aggregate(every, F.lit(model.bias), lambda s, k: s + F.get(weights, k))
+    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))
+    return rows.join(more, "row", "left").select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def predict(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted; the model is trained when this is called."""
-    scored = score(docs, train(docs, labels, sample))
+    """doc_id, held_out, score, predicted; the models are trained when this is called."""
+    known = decoded(gathered(docs))
+    scored = score(docs, train(docs, labels, sample, known), known)
     held = F.coalesce(fold() == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -206,6 +206,21 @@ def test_restoring():
     assert toxicity.restore("river,", channel) == ("river",)
 
 
+def test_words_of_unlabelled_documents_count(spark):
+    """Labelled documents hold a word only in disguise, the others say what it is."""
+    ids = [k for k in range(600) if zlib.crc32(str(k).encode()) % 3 != 1]
+    said = {k: f"here is s1lly text w{k}" if n < 40 else f"here is text w{k}" for n, k in enumerate(ids[:200])}
+    docs = spark.createDataFrame([*said.items(), *[(1000 + k, "a silly old thing") for k in range(50)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("s1lly" in t)) for k, t in said.items()], "doc_id long, toxic int")
+    known = {r["token"]: r["meant"] for r in toxicity.decoded(toxicity.gathered(docs)).collect()}
+    assert known["s1lly"] == "silly"
+    scores = {r["doc_id"]: r["score"] for r in toxicity.predict(docs, labels).collect()}
+    assert scores[1000] > 10 * max(scores[k] for k, t in said.items() if "s1lly" not in t)
+    # A word counts from its first occurrence, and its trigrams with it.
+    few = toxicity.Channel(Counter({"quiz": 1, "house": 100}))
+    assert "quiz" in few.words and few.step("qu", "i") > few.unseen["qu"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
