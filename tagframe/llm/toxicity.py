@@ -47,14 +47,17 @@ KEPT_WORDS, SALTS = 300_000, 16
 
 #: Letters that signs stand for in leetspeak (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
-SEPARATORS = ".-_*~'`,"
+SEPARATORS = ".-_*~'`, "
 EDGES = "\"'.,;:?!()[]{}<>*&%#$|~`-_="
 
 DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(€*#].*[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+(€]+$|([^\W\d_])\1\1").search
 TRIPLE = re.compile(r"([^\W\d_])\1\1").search
 OUTER = "\"'.,;:?()[]{}<>*&%#~`-_="
 SPLIT = re.compile(r"^[^\W_](?:[.\-_*~'`,][^\W_]){2,}$").match
-SPACED = re.compile(r"(?<!\S)(?:[^\W_@$!|] ){3,}[^\W_](?!\S)").findall
+SINGLE = r"[^\W_]|[@$!|+(€]"
+#: Single characters between white space; quotes and brackets may stand before the first, punctuation behind the last.
+SPACED = re.compile(rf"(?<!\S)[\"'\[{{<]*+((?:{SINGLE})(?:\s+(?:{SINGLE})){{2,}})[\"'.,;:?!)\]}}>]*(?!\S)").findall
+WIDE, ALNUM = re.compile(r"\s\s+|[^\S ]").split, re.compile(r"[^\W_]").search
 WILDCARDS = "*#"
 LEET_PRICE, REPEAT_PRICE, DROP_PRICE, TWICE_PRICE, WILD_PRICE = -0.7, -0.7, -0.3, -0.2, -1.5
 
@@ -128,12 +131,22 @@ def tokens(text: str) -> set[str]:
     return {*low.split(), *spaced(low)}
 
 
-def spaced(low: str) -> list[str]:
-    return [run.replace(" ", ".") for run in SPACED(low)]
+def spaced(low: str) -> set[str]:
+    """Runs of three or more single characters, with one blank between: whole, and what wider gaps divide, each also without signs at its end."""
+    out = set()
+    for run in SPACED(low):
+        for part in (run, *WIDE(run)):
+            one = " ".join(part.split())
+            for x in (one, one.rstrip(EDGES + " ")):
+                if len(x) > 4 and ALNUM(x):
+                    out.add(x)
+    return out
 
 
 def parts(token: str) -> tuple[str, str | None]:
-    """The word of a token and, if that is suspect, what to decode."""
+    """The word of a token and, if that is suspect, what to decode; a run of single characters is no word."""
+    if " " in token:
+        return "", token
     bare = token.strip(EDGES)
     if bare.isalpha() and token[0].isalpha() and not TRIPLE(bare):
         return bare, None

@@ -206,6 +206,17 @@ def test_restoring():
     assert toxicity.restore("river,", channel) == ("river",)
 
 
+def test_spaced_words_are_scored():
+    texts = [f"you are an idiot w{k}" for k in range(40)] + [f"what an ass w{k}" for k in range(40)] + [f"so stupid w{k}" for k in range(40)] + [f"nothing to see here w{k}" for k in range(300)]
+    model = toxicity.Model(texts, [1] * 120 + [0] * 300)
+    plain = {w: model.score(w, {}) for w in ("idiot", "ass", "stupid")}
+    nothing = model.score("nothing", {})
+    assert min(plain.values()) > nothing
+    for said, meant in {"a s s": "ass", "a $ $": "ass", "i d ! o t": "idiot", "i  d\ti\no t": "idiot", "i d i o t,": "idiot", "i d i o t!": "idiot", "i d i o t !": "idiot", '"i d i o t"': "idiot", "$ t u p i d": "stupid", "h e y   i d i o t": "idiot", "s t u p 1 d.": "stupid"}.items():
+        assert model.score(f"well {said}", {}) >= plain[meant], said
+    assert model.score("1 or 2 x y zebra", {}) == nothing
+
+
 def test_words_of_unlabelled_documents_count(spark):
     """Labelled documents hold a word only in disguise, the others say what it is."""
     ids = [k for k in range(600) if zlib.crc32(str(k).encode()) % 3 != 1]
