@@ -4,13 +4,15 @@
 ``spark.read.format("tag_directories").option("path", glob).load()`` gives a row per
 directory: file_id, ifd_index, ifd_offset, little_endian, bigtiff, buf, error. One
 partition per file; each read seeks to the header and to every directory of the chain
-and to nothing else. Paths are those of a file system mounted on all workers.
+and to nothing else. The chain ends at offset 0, at an offset met before or at the end
+of the file; the option ``most`` bounds it only where it is given. Paths are those of a file system mounted on all workers.
 """
 
 from __future__ import annotations
 
 import glob
 from collections.abc import Iterator
+from itertools import count as count_up
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,7 +26,7 @@ class FilePartition(InputPartition):
 
 
 class DirectoryReader(DataSourceReader):
-    def __init__(self, path: str, most: int):
+    def __init__(self, path: str, most: int | None = None):
         self.path, self.most = path, most
 
     def partitions(self) -> list[FilePartition]:
@@ -49,7 +51,7 @@ class DirectoryReader(DataSourceReader):
             big = version == 43
             count, stride, width = (8, 20, 8) if big else (2, 12, 4)
             at, met = number(head[8:16] if big else head[4:8]), set()
-            for k in range(self.most):
+            for k in count_up() if self.most is None else range(self.most):
                 if not at:
                     return
                 if at in met:
@@ -77,4 +79,5 @@ class DirectorySource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DirectoryReader:
-        return DirectoryReader(self.options["path"], int(self.options.get("most", "64")))
+        most = self.options.get("most")
+        return DirectoryReader(self.options["path"], int(most) if most else None)

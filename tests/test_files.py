@@ -73,6 +73,13 @@ def test_byte_ranges(spark, tmp_path):
     assert entries.where("tag = 256").count() == 8
 
 
+def test_byte_ranges_of_a_long_chain(spark, tmp_path):
+    (tmp_path / "long.tif").write_bytes(big(list(range(70))))
+    spark.dataSource.register(DirectorySource)
+    d = spark.read.format("tag_directories").option("path", f"{tmp_path}/*.tif").load()
+    assert d.where("error IS NULL").count() == 70 and d.count() == 70
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
