@@ -23,9 +23,14 @@ def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often body uses it; it also keeps generated methods small enough to be compiled."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def reversed_pairs(h: Column, width: int) -> Column:
     """The hex of ``width`` bytes in the opposite order."""
-    return F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(width))]) if width > 1 else h
+    return let(h, lambda x: F.concat(*[F.substring(x, 2 * k + 1, 2) for k in reversed(range(width))])) if width > 1 else h
 
 
 def ordered(h: Column, width: int, little) -> Column:
@@ -38,8 +43,8 @@ def ordered(h: Column, width: int, little) -> Column:
 def hex_at(buf: Column, pos, width: int, little=False) -> Column:
     """Big-endian hex of the number at a position; null if the buffer ends before it does."""
     pos = as_column(pos)
-    part = F.substring(buf, pos + 1, F.lit(width))
-    return F.when((pos >= 0) & (F.octet_length(part) == width), ordered(F.hex(part), width, little))
+    part = F.hex(F.substring(buf, pos + 1, F.lit(width)))
+    return let(part, lambda h: F.when((pos >= 0) & (F.octet_length(h) == 2 * width), ordered(h, width, little)))
 
 
 def unsigned(h: Column, width: int) -> Column:
@@ -51,12 +56,16 @@ def signed(h: Column, width: int) -> Column:
     """Two's complement as BIGINT."""
     if width == 8:
         return F.conv(h, 16, -10).cast("bigint")
-    n = F.conv(h, 16, 10).cast("bigint")
-    return F.when(n >= 1 << (8 * width - 1), n - (1 << (8 * width))).otherwise(n)
+    # Shifted to the top and back, the sign bit fills the rest.
+    return F.shiftright(F.shiftleft(F.conv(h, 16, -10).cast("bigint"), 64 - 8 * width), 64 - 8 * width)
 
 
 def _float(bits: Column, fraction_bits: int, exponent_bits: int) -> Column:
     """IEEE 754 value of the bits (a non-negative or two's-complement BIGINT), as DOUBLE."""
+    return let(bits, lambda b: _float_of(b, fraction_bits, exponent_bits))
+
+
+def _float_of(bits: Column, fraction_bits: int, exponent_bits: int) -> Column:
     most = (1 << exponent_bits) - 1
     bias = (most >> 1) + fraction_bits
     exponent = F.shiftright(bits, fraction_bits).bitwiseAND(F.lit(most))
@@ -109,11 +118,17 @@ def fix_endianness(data: Column, little, bit_depth: Column) -> Column:
     return F.unhex(F.when(as_column(little), by_depth).otherwise(h))
 
 
+def canonical_hex(h: Column, little, unit: Column) -> Column:
+    """Big-endian hex of values whose numbers are ``unit`` bytes wide (a column of 1, 2, 4 or 8)."""
+    swapped = reduce(lambda c, u: c.when(unit == u, swapped_units(h, u)), (2, 4, 8), F.when(unit == 1, h))
+    if isinstance(little, bool):
+        return swapped if little else F.when(unit.isNotNull(), h)
+    return F.when(little, swapped).otherwise(h)
+
+
 def canonical(data: Column, little, unit: Column) -> Column:
     """Big-endian bytes of values whose numbers are ``unit`` bytes wide (a column of 1, 2, 4 or 8)."""
-    h = F.hex(data)
-    swapped = reduce(lambda c, u: c.when(unit == u, swapped_units(h, u)), (2, 4, 8), F.when(unit == 1, h))
-    return F.unhex(F.when(as_column(little), swapped).otherwise(h))
+    return let(F.hex(data), lambda h: F.unhex(canonical_hex(h, little, unit)))
 
 
 def elements(data: Column, width: int) -> Column:

@@ -8,6 +8,8 @@ result, as it decides which error is reported.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +30,21 @@ IS_DIRECTORY = "IfdReadIntoEntry"
 
 def checked(entry: Column, errors: list[tuple[Column, str | Column]], value: Column) -> Column:
     """The value, or the error of the first condition that holds."""
-    error = F.lit(None).cast("string")
+    found = F.lit(None).cast("string")
     for condition, name in reversed(errors):
-        error = F.when(condition, F.lit(name)).otherwise(error)
+        found = F.when(condition, F.lit(name)).otherwise(found)
     present = entry.isNotNull()
-    error = F.when(present, error)
-    return F.struct(F.when(present & error.isNull(), value).alias("value"), error.alias("error"))
+    return B.let(F.when(present, found), lambda error: F.struct(F.when(present & error.isNull(), value).alias("value"), error.alias("error")))
+
+
+def once(f):
+    """The conversion with its entry, which may be a long expression, computed once."""
+
+    @wraps(f)
+    def conversion(entry: Column, *args) -> Column:
+        return B.let(entry, lambda e: f(e, *args))
+
+    return conversion
 
 
 def _hex(entry: Column) -> Column:
@@ -57,31 +68,47 @@ def unsigned_value(entry: Column) -> Column:
 
 
 def signed_value(entry: Column) -> Column:
-    h, size = _hex(entry), size_of(entry["type_code"])
-    return F.when(size == 1, B.signed(h, 1)).when(size == 2, B.signed(h, 2)).when(size == 4, B.signed(h, 4)).otherwise(B.signed(h, 8))
+    return _signed_of(_hex(entry), size_of(entry["type_code"]))
+
 
+def _signed_of(h: Column, size: Column) -> Column:
+    """Two's complement of ``size`` bytes: shifted to the top and back, the sign bit fills the rest."""
+    shift = F.when(size.isin(1, 2, 4), 64 - 8 * size).otherwise(F.lit(0)).cast("int")
+    n = F.conv(h, 16, -10).cast("bigint")
+    return B.let(shift, lambda k: F.call_function("shiftright", F.call_function("shiftleft", n, k), k))
 
+
+@once
 def to_unsigned(entry: Column, bits: int) -> Column:
     """u8, u16, u32 as BIGINT or u64 as DECIMAL(20,0), from any unsigned type."""
-    n = unsigned_value(entry)
-    too_large = n > F.lit(str((1 << bits) - 1)).cast(B.U64)
-    value = n if bits == 64 else n.cast("bigint")
-    return checked(entry, [(_one_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(*UNSIGNED), NOT_UNSIGNED), (too_large, TOO_LARGE)], value)
 
+    def narrowed(n: Column) -> Column:
+        too_large = n > F.lit(str((1 << bits) - 1)).cast(B.U64)
+        value = n if bits == 64 else n.cast("bigint")
+        return checked(entry, [(_one_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(*UNSIGNED), NOT_UNSIGNED), (too_large, TOO_LARGE)], value)
+
+    return B.let(unsigned_value(entry), narrowed)
 
+
+@once
 def to_signed(entry: Column, bits: int) -> Column:
     """i8, i16, i32, i64 as BIGINT, from any signed type."""
-    n = signed_value(entry)
-    errors = [(_one_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(*SIGNED), NOT_SIGNED)]
-    if bits < 64:
-        errors.append((~n.between(-(1 << (bits - 1)), (1 << (bits - 1)) - 1), TOO_LARGE))
-    return checked(entry, errors, n)
 
+    def narrowed(n: Column) -> Column:
+        errors = [(_one_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(*SIGNED), NOT_SIGNED)]
+        if bits < 64:
+            errors.append((~n.between(-(1 << (bits - 1)), (1 << (bits - 1)) - 1), TOO_LARGE))
+        return checked(entry, errors, n)
+
+    return B.let(signed_value(entry), narrowed)
 
+
+@once
 def to_f32(entry: Column) -> Column:
     return checked(entry, [(_one_size(entry), SIZES_DIFFER), (entry["type_code"] != TYPE["FLOAT"], NOT_FLOAT)], B.float32(_hex(entry)))
 
 
+@once
 def to_f64(entry: Column) -> Column:
     """DOUBLE, or FLOAT widened."""
     single = entry["type_code"] == TYPE["FLOAT"]
@@ -89,6 +116,7 @@ def to_f64(entry: Column) -> Column:
     return checked(entry, [(_one_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(TYPE["FLOAT"], TYPE["DOUBLE"]), NOT_FLOAT)], value)
 
 
+@once
 def get_u64(entry: Column, index) -> Column:
     """Element ``index`` of an unsigned entry, counted from 0."""
     index = B.as_column(index)
@@ -113,6 +141,7 @@ def _decoder(target: str):
     return width, (B.float32 if width == 4 else B.float64)
 
 
+@once
 def to_slice(entry: Column, target: str) -> Column:
     """All elements; a wrong type is reported as a wrong size."""
     width, decode = _decoder(target)
@@ -120,6 +149,7 @@ def to_slice(entry: Column, target: str) -> Column:
     return checked(entry, [(_all_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(*codes), SIZES_DIFFER)], F.transform(B.elements(entry["data"], width), decode))
 
 
+@once
 def to_vec_f64(entry: Column) -> Column:
     """A copy of a DOUBLE list, or a FLOAT list widened."""
     wide = F.transform(B.elements(entry["data"], 8), B.float64)
@@ -128,6 +158,7 @@ def to_vec_f64(entry: Column) -> Column:
     return checked(entry, [(_all_size(entry), SIZES_DIFFER), (~entry["type_code"].isin(TYPE["FLOAT"], TYPE["DOUBLE"]), NOT_FLOAT)], value)
 
 
+@once
 def to_vec_f32(entry: Column) -> Column:
     """A copy of a FLOAT list; DOUBLE is not narrowed."""
     return checked(entry, [(_all_size(entry), SIZES_DIFFER), (entry["type_code"] != TYPE["FLOAT"], NOT_FLOAT)], F.transform(B.elements(entry["data"], 4), B.float32))
@@ -147,6 +178,7 @@ def _text(entry: Column) -> Column:
     return F.trim(F.decode(entry["data"], "UTF-8"), F.lit("\u0000"))
 
 
+@once
 def to_text(entry: Column) -> Column:
     wrong_type = ~entry["type_code"].isin(TYPE["ASCII"], TYPE["BYTE"], TYPE["UNDEFINED"])
     return checked(entry, [(_length(entry).cast(B.U64) != entry["count"], SIZES_DIFFER), (wrong_type, NOT_TEXT), (_not_closed(entry), INVALID)], _text(entry))
@@ -155,9 +187,12 @@ def to_text(entry: Column) -> Column:
 def _display_rational(h: Column) -> Column:
     """Three decimals, cut off; none if they are zero. Null for a denominator of 0."""
     num, den = B.unsigned(F.substring(h, 1, 8), 4), B.unsigned(F.substring(h, 9, 8), 4)
-    q = whole_div(num * 1000, den)
-    rest, frac = whole_div(q, F.lit(1000)), q % 1000
-    return F.when(frac != 0, F.concat(rest.cast("string"), F.lit("."), F.lpad(frac.cast("string"), 3, "0"))).otherwise(rest.cast("string"))
+
+    def cut(q: Column) -> Column:
+        rest, frac = whole_div(q, F.lit(1000)), q % 1000
+        return F.when(frac != 0, F.concat(rest.cast("string"), F.lit("."), F.lpad(frac.cast("string"), 3, "0"))).otherwise(rest.cast("string"))
+
+    return B.let(whole_div(num * 1000, den), cut)
 
 
 def _display_srational(h: Column) -> Column:
@@ -171,8 +206,7 @@ def _value(h: Column, type_code: Column) -> Column:
     """One element as STRUCT<u, i, f, num, den, s>; only the fields of its family are set."""
     t = TYPE
     is_unsigned = type_code.isin(*UNSIGNED, t["UNDEFINED"])
-    sizes = size_of(type_code)
-    sign = F.when(sizes == 1, B.signed(h, 1)).when(sizes == 2, B.signed(h, 2)).when(sizes == 4, B.signed(h, 4)).otherwise(B.signed(h, 8))
+    sign = _signed_of(h, size_of(type_code))
     f = F.when(type_code == t["FLOAT"], B.float32(h).cast("double")).when(type_code == t["DOUBLE"], B.float64(h))
     first, second = F.substring(h, 1, 8), F.substring(h, 9, 8)
     ratio = lambda part: F.when(type_code == t["RATIONAL"], B.unsigned(part, 4)).when(type_code == t["SRATIONAL"], B.signed(part, 4))
@@ -186,6 +220,7 @@ def _value(h: Column, type_code: Column) -> Column:
     )
 
 
+@once
 def to_values(entry: Column) -> Column:
     """STRUCT<value: array<STRUCT<u, i, f, num, den, s>>, error>: one element for a single value or a text."""
     code, one = entry["type_code"], entry["count"] == 1
@@ -193,7 +228,7 @@ def to_values(entry: Column) -> Column:
     size = size_of(code)
     n = F.when(one, F.lit(1)).otherwise(F.floor(_length(entry) / size).cast("int"))
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    numbers = F.transform(at, lambda k: _value(F.hex(F.substring(entry["data"], k * size + 1, size)), code))
+    numbers = F.transform(at, lambda k: B.let(F.hex(F.substring(entry["data"], k * size + 1, size)), lambda h: _value(h, code)))
     none = F.lit(None)
     text = F.array(F.struct(none.cast(B.U64).alias("u"), none.cast("bigint").alias("i"), none.cast("double").alias("f"), none.cast("bigint").alias("num"), none.cast("bigint").alias("den"), _text(entry).alias("s")))
     errors = [
@@ -204,9 +239,14 @@ def to_values(entry: Column) -> Column:
     return checked(entry, errors, F.when(ascii_ & ~one, text).otherwise(numbers))
 
 
+@once
 def display(entry: Column) -> Column:
     """STRUCT<value: string, error> of a single value or text; denominators of 0 and lists have no display."""
-    code, h, one = entry["type_code"], _hex(entry), entry["count"] == 1
+    return B.let(_hex(entry), lambda h: _display(entry, h))
+
+
+def _display(entry: Column, h: Column) -> Column:
+    code, one = entry["type_code"], entry["count"] == 1
     ascii_, ratio = code == TYPE["ASCII"], code == TYPE["RATIONAL"]
     shown = (
         F.when(ratio, _display_rational(h))

@@ -19,40 +19,54 @@ LIMITS, SHORT = "LimitsExceeded", "IoError"
 ENTRY_COLUMNS = ("entry_pos", "tag", "type_code", "count", "is_inline", "offset", "data", "error")
 
 
-def parse_fields(buf: Column, at, little, big: bool) -> dict[str, Column]:
-    """type_code, count, is_inline, offset, data, error of the entry (without its tag) at a position."""
-    at = B.as_column(at)
+def parse_fields(h: Column, little, big: bool) -> Column:
+    """STRUCT<type_code, count, is_inline, offset, data, error> of an entry from the hex of what follows its tag; it may end early."""
     width = 8 if big else 4
-    code = B.read_unsigned(buf, at, 2, little).cast("int")
-    count = B.read_unsigned(buf, at + 2, width, little).cast(B.U64)
-    size = size_of(code)
-    value_at = at + 2 + width
-    field = F.substring(buf, value_at + 1, F.lit(width))
-    whole = F.octet_length(field) == width
+
+    def number(at: int, n: int) -> Column:
+        digits = F.substring(h, 2 * at + 1, 2 * n)
+        return F.when(F.length(digits) == 2 * n, B.unsigned(B.ordered(digits, n, little), n))
+
+    code = number(0, 2).cast("int")
+    head = F.struct(code.alias("code"), number(2, width).cast(B.U64).alias("count"), F.substring(h, 2 * width + 5, 2 * width).alias("field"))
+    return B.let(head, lambda e: B.let(size_of(e["code"]), lambda size: _classified(e["code"], e["count"], e["field"], size, width, little)))
+
+
+def _classified(code: Column, count: Column, field: Column, size: Column, width: int, little) -> Column:
     n = (count * size.cast(B.U64)).cast("decimal(38,0)")
-    deferred = (n > width) | code.isin(*OFFSET_TYPES)
     error = (
         F.when(code.isNull(), F.lit(SHORT))
         .when(size.isNull(), F.concat(F.lit("InvalidTagValueType("), code.cast("string"), F.lit(")")))
         .when(count.isNull(), F.lit(SHORT))
         .when(n > F.lit(MOST_U64).cast("decimal(38,0)"), F.lit(LIMITS))
-        .when(~whole, F.lit(SHORT))
+        .when(F.length(field) < 2 * width, F.lit(SHORT))
     )
-    good = error.isNull()
-    inline = F.substring(field, F.lit(1), F.least(n, F.lit(width)).cast("int"))
-    return {
-        "type_code": code,
-        "count": count,
-        "is_inline": F.when(good, ~deferred),
-        "offset": F.when(good & deferred, B.unsigned(B.hex_at(buf, value_at, width, little), width).cast(B.U64)),
-        "data": F.when(good & ~deferred, B.canonical(inline, little, swap_unit_of(code))),
-        "error": error,
-    }
+    deferred = (n > width) | code.isin(*OFFSET_TYPES)
+    inline = F.substring(field, F.lit(1), F.least(n * 2, F.lit(2 * width)).cast("int"))
+
+    def fields(found: Column) -> Column:
+        good, later = found["error"].isNull(), found["deferred"]
+        return F.struct(
+            code.alias("type_code"),
+            count.alias("count"),
+            F.when(good, ~later).alias("is_inline"),
+            F.when(good & later, B.unsigned(B.ordered(field, width, little), width).cast(B.U64)).alias("offset"),
+            F.when(good & ~later, F.unhex(B.canonical_hex(inline, little, swap_unit_of(code)))).alias("data"),
+            found["error"].alias("error"),
+        )
+
+    return B.let(F.struct(error.alias("error"), deferred.alias("deferred")), fields)
+
+
+FIELDS = ("type_code", "count", "is_inline", "offset", "data", "error")
 
 
 def parse_entry(df: DataFrame, buf: Column, little, big: bool) -> DataFrame:
-    """``df`` with the fields of the entry at the start of ``buf``."""
-    return df.withColumns(parse_fields(buf, 0, little, big))
+    """``df`` with the fields of the entry at the start of ``buf``, which has no tag before them."""
+    width = 8 if big else 4
+    kept = [c for c in df.columns if c not in FIELDS]
+    found = df.withColumn("_entry", parse_fields(F.hex(F.substring(buf, F.lit(1), F.lit(2 + 2 * width))), little, big))
+    return found.select(*kept, *[F.col("_entry")[f].alias(f) for f in FIELDS])
 
 
 def parse_directories(df: DataFrame, keys: list[str], buf: str, little, big: bool, mode: str = "PERMISSIVE") -> DataFrame:
@@ -61,8 +75,7 @@ def parse_directories(df: DataFrame, keys: list[str], buf: str, little, big: boo
     ``buf`` holds the directory from its number of entries on; what follows the last
     entry is ignored. A buffer that ends early gives its whole entries and one row
     with IoError. PERMISSIVE keeps errors as rows, FAILFAST raises on the first.
-    The buffer is copied to every row of the Generate, so it should be cut to the
-    directory before (``directory_bytes``).
+    The Generate gives every row the bytes of its own entry and nothing else of the buffer.
     """
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError(f"unknown mode {mode}")
@@ -72,13 +85,15 @@ def parse_directories(df: DataFrame, keys: list[str], buf: str, little, big: boo
     there = F.greatest(F.floor((F.octet_length(b) - head) / stride).cast("int"), F.lit(0))
     # One more than what is there stands for the missing rest.
     shown = F.when(n.isNull(), F.lit(1)).otherwise(F.least(n, (there + 1).cast("decimal(20,0)")).cast("int"))
-    at = F.when(shown > 0, F.sequence(F.lit(0), shown - 1)).otherwise(F.array().cast("array<int>"))
-    little_column = B.as_column(little).alias("_little")
-    rows = df.select(*keys, b.alias("_buf"), little_column, F.explode(at).alias("entry_pos"))
-    start = F.col("entry_pos") * stride + head
-    fields = parse_fields(F.col("_buf"), start + 2, little if isinstance(little, bool) else F.col("_little"), big)
-    tag = B.read_unsigned(F.col("_buf"), start, 2, little if isinstance(little, bool) else F.col("_little")).cast("int")
-    out = rows.select(*keys, "entry_pos", tag.alias("tag"), *[v.alias(k) for k, v in fields.items()])
+    at = B.let(shown, lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")))
+    slices = F.transform(at, lambda k: F.hex(F.substring(b, k * stride + head + 1, F.lit(stride))))
+    order = little if isinstance(little, bool) else F.col("_little")
+    kept = [] if isinstance(little, bool) else [little.alias("_little")]
+    rows = df.select(*keys, *kept, F.posexplode(F.coalesce(slices, F.array(F.lit("")))).alias("entry_pos", "_hex"))
+    tag = F.substring("_hex", 1, 4)
+    tag = F.when(F.length(tag) == 4, B.unsigned(B.ordered(tag, 2, order), 2)).cast("int")
+    out = rows.select(*keys, "entry_pos", tag.alias("tag"), parse_fields(F.substring("_hex", 5, 2 * stride), order, big).alias("_entry"))
+    out = out.select(*keys, "entry_pos", "tag", *[F.col("_entry")[f].alias(f) for f in FIELDS])
     if mode == "FAILFAST":
         out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("cannot parse entry: "), "error"))))
     return out
@@ -179,16 +194,32 @@ def same_entry(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def same_directories(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``same``: whether two directories have the same tags with equal entries, loaded or not. Each tag stands once (last_of_each_tag)."""
+    fields = ("type_code", "count", "offset", "data")
+    x = a.select(*keys, "tag", F.struct(*fields).alias("_a"))
+    y = b.select(*keys, "tag", F.struct(*fields).alias("_b"))
+    return x.join(y, [*keys, "tag"], "full_outer").groupBy(*keys).agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("same"))
+
+
 def entry(type_code="type_code", count="count", data="data") -> Column:
     """The STRUCT that conversions take; null where no data is loaded."""
     return F.when(F.col(data).isNotNull(), F.struct(F.col(type_code).alias("type_code"), F.col(count).alias("count"), F.col(data).alias("data")))
 
 
+def byte_range(content: Column, start: Column, n: Column) -> Column:
+    """Bytes start .. start + n of a binary column, null where it ends before; any number may be asked for."""
+    wide = lambda x: x.cast("decimal(38,0)")
+    inside = wide(start) + wide(n) <= F.octet_length(content)
+    return F.when(inside & (wide(start) >= 0) & (wide(n) >= 0), F.substring(content, (wide(start) + 1).try_cast("int"), wide(n).try_cast("int")))
+
+
 def load_deferred(entries: DataFrame, content: Column, little) -> DataFrame:
     """Entries whose bytes lie in ``content`` (the whole file): data of deferred ones is cut out, IoError if it ends before."""
-    n = (F.col("count") * size_of(F.col("type_code"))).cast("bigint")
-    part = F.substring(content, (F.col("offset") + 1).cast("int"), n.cast("int"))
-    whole = F.octet_length(part) == n
+    n = F.col("count").cast("decimal(38,0)") * size_of(F.col("type_code"))
     todo = F.col("data").isNull() & F.col("offset").isNotNull() & F.col("error").isNull()
-    data = F.when(todo & whole, B.canonical(part, little, swap_unit_of(F.col("type_code")))).otherwise(F.col("data"))
-    return entries.withColumns({"data": data, "error": F.when(todo & ~whole, F.lit(SHORT)).otherwise(F.col("error"))})
+    loaded = B.canonical(byte_range(content, F.col("offset"), n), little, swap_unit_of(F.col("type_code")))
+    rows = entries.withColumn("_loaded", F.when(todo, loaded))
+    short = todo & F.col("_loaded").isNull()
+    done = rows.withColumns({"data": F.coalesce("data", "_loaded"), "error": F.when(short, F.lit(SHORT)).otherwise(F.col("error"))})
+    return done.drop("_loaded")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tagframe.functions import binary, catalog, convert, encode, geometry
 from tagframe.operators import directory, image
+from tagframe.sources import files
 
 U64 = binary.U64
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,15 +315,17 @@ def _narrowed(value: str, bits: int, signed: bool) -> str:
 @query("SELECT l_orderkey, l_partkey, " + ", ".join(_narrowed("l_partkey * 300007", b, False) for b in (8, 16, 32, 64) if b < 64) + ", l_partkey * 300007 AS u64 FROM lineitem")
 def narrow_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", encode.scalar("LONG8", c("l_partkey") * 300007).alias("e"))
-    got = [x for b in (8, 16, 32) for x in (convert.to_unsigned(c("e"), b)["value"].alias(f"u{b}"), convert.to_unsigned(c("e"), b)["error"].alias(f"u{b}_error"))]
-    return t.select("l_orderkey", "l_partkey", *got, long(convert.to_unsigned(c("e"), 64)["value"]).alias("u64"))
+    t = t.select("l_orderkey", "l_partkey", *[convert.to_unsigned(c("e"), b).alias(f"r{b}") for b in (8, 16, 32, 64)])
+    got = [x for b in (8, 16, 32) for x in (c(f"r{b}.value").alias(f"u{b}"), c(f"r{b}.error").alias(f"u{b}_error"))]
+    return t.select("l_orderkey", "l_partkey", *got, long(c("r64.value")).alias("u64"))
 
 
 @query("SELECT l_orderkey, l_partkey, " + ", ".join(_narrowed("((l_partkey - 1000) * 3000017)", b, True) for b in (8, 16, 32)) + ", (l_partkey - 1000) * 3000017 AS i64 FROM lineitem")
 def narrow_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", encode.scalar("SLONG8", (c("l_partkey") - 1000) * 3000017).alias("e"))
-    got = [x for b in (8, 16, 32) for x in (convert.to_signed(c("e"), b)["value"].alias(f"i{b}"), convert.to_signed(c("e"), b)["error"].alias(f"i{b}_error"))]
-    return t.select("l_orderkey", "l_partkey", *got, convert.to_signed(c("e"), 64)["value"].alias("i64"))
+    t = t.select("l_orderkey", "l_partkey", *[convert.to_signed(c("e"), b).alias(f"r{b}") for b in (8, 16, 32, 64)])
+    got = [x for b in (8, 16, 32) for x in (c(f"r{b}.value").alias(f"i{b}"), c(f"r{b}.error").alias(f"i{b}_error"))]
+    return t.select("l_orderkey", "l_partkey", *got, c("r64.value").alias("i64"))
 
 
 _TARGETS = [*[("u", b) for b in (8, 16, 32, 64)], *[("i", b) for b in (8, 16, 32, 64)], ("f", 32), ("f", 64)]
@@ -596,42 +599,67 @@ def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Catalogues ------------------------------------------------------------------
 
-
-def _values(enum: str) -> str:
-    return ", ".join(f"('{n}', {code})" for n, code in catalog.ENUMS[enum])
-
-
-def _catalog_query(enum: str, column: str, modulus: int) -> None:
+# Fixed values, written down once more so that the SQL does not follow the code: by code, as in the format's specification.
+_CATALOGUES = {
+    "Tag": """(254, 'NewSubfileType'), (255, 'SubfileType'), (256, 'ImageWidth'), (257, 'ImageLength'), (258, 'BitsPerSample'), (259, 'Compression'),
+(262, 'PhotometricInterpretation'), (263, 'Threshholding'), (264, 'CellWidth'), (265, 'CellLength'), (266, 'FillOrder'), (270, 'ImageDescription'), (271, 'Make'),
+(272, 'Model'), (273, 'StripOffsets'), (274, 'Orientation'), (277, 'SamplesPerPixel'), (278, 'RowsPerStrip'), (279, 'StripByteCounts'), (280, 'MinSampleValue'),
+(281, 'MaxSampleValue'), (282, 'XResolution'), (283, 'YResolution'), (284, 'PlanarConfiguration'), (288, 'FreeOffsets'), (289, 'FreeByteCounts'),
+(290, 'GrayResponseUnit'), (291, 'GrayResponseCurve'), (296, 'ResolutionUnit'), (305, 'Software'), (306, 'DateTime'), (315, 'Artist'), (316, 'HostComputer'),
+(317, 'Predictor'), (320, 'ColorMap'), (322, 'TileWidth'), (323, 'TileLength'), (324, 'TileOffsets'), (325, 'TileByteCounts'), (338, 'ExtraSamples'),
+(339, 'SampleFormat'), (340, 'SMinSampleValue'), (341, 'SMaxSampleValue'), (347, 'JPEGTables'), (33432, 'Copyright'), (33550, 'ModelPixelScaleTag'),
+(33922, 'ModelTiepointTag'), (34264, 'ModelTransformationTag'), (34735, 'GeoKeyDirectoryTag'), (34736, 'GeoDoubleParamsTag'), (34737, 'GeoAsciiParamsTag'), (42113, 'GdalNodata')""",
+    "TagType": """(1, 'BYTE'), (2, 'ASCII'), (3, 'SHORT'), (4, 'LONG'), (5, 'RATIONAL'), (6, 'SBYTE'), (7, 'UNDEFINED'), (8, 'SSHORT'), (9, 'SLONG'), (10, 'SRATIONAL'),
+(11, 'FLOAT'), (12, 'DOUBLE'), (13, 'IFD'), (16, 'LONG8'), (17, 'SLONG8'), (18, 'IFD8')""",
+    "CompressionMethod": """(1, 'None'), (2, 'Huffman'), (3, 'Fax3'), (4, 'Fax4'), (5, 'LZW'), (6, 'JPEG'), (7, 'ModernJPEG'), (8, 'Deflate'), (32773, 'PackBits'), (32946, 'OldDeflate')""",
+    "PhotometricInterpretation": """(0, 'WhiteIsZero'), (1, 'BlackIsZero'), (2, 'RGB'), (3, 'RGBPalette'), (4, 'TransparencyMask'), (5, 'CMYK'), (6, 'YCbCr'), (8, 'CIELab')""",
+    "PlanarConfiguration": "(1, 'Chunky'), (2, 'Planar')",
+    "Predictor": "(1, 'None'), (2, 'Horizontal'), (3, 'FloatingPoint')",
+    "ResolutionUnit": "(1, 'None'), (2, 'Inch'), (3, 'Centimeter')",
+    "SampleFormat": "(1, 'Uint'), (2, 'Int'), (3, 'IEEEFP'), (4, 'Void')",
+}
+
+
+def _catalog_query(enum: str, column: str, modulus: int, every_code: bool) -> None:
     """Codes used by lineitem: known names, names with Unknown, and back."""
-    exhaustive = enum in catalog.EXHAUSTIVE
-    full = f"coalesce(name, 'Unknown(' || u.code || ')') AS full_name, u.code AS back" if exhaustive else "name AS full_name, e.code AS back"
+    full = "coalesce(name, 'Unknown(' || u.code || ')') AS full_name, u.code AS back" if every_code else "name AS full_name, e.code AS back"
     sql = f"""SELECT u.code, u.n, name, {full} FROM (SELECT {column} % {modulus} AS code, count(*) AS n FROM lineitem GROUP BY 1) AS u
-LEFT JOIN (VALUES {_values(enum)}) AS e(name, code) ON u.code = e.code"""
+LEFT JOIN (VALUES {_CATALOGUES[enum]}) AS e(code, name) ON u.code = e.code"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         used = table(spark, sf_dir, "lineitem").groupBy((c(column) % modulus).alias("code")).agg(F.count("*").alias("n"))
-        names = F.broadcast(catalog.catalog(spark, enum).select(c("code").alias("k"), "name"))
+        names = F.broadcast(catalog.catalog(spark, enum).select(c("code").alias("k"), "name"))  # 52 rows at most
         named = used.join(names, c("code") == c("k"), "left").drop("k")
-        full = catalog.name_or_unknown(enum, c("code")) if exhaustive else catalog.name_of(enum, c("code"))
+        full = catalog.name_or_unknown(enum, c("code")) if enum in catalog.EXHAUSTIVE else catalog.name_of(enum, c("code"))
         return named.withColumn("full_name", full).select("code", "n", "name", "full_name", long(catalog.code_of(enum, c("full_name"))).alias("back"))
 
     run.__name__ = f"catalog_{enum.lower()}"
     query(sql)(run)
 
 
-for _enum, _column, _modulus in (
-    ("Tag", "l_partkey", 400), ("TagType", "l_partkey", 20), ("CompressionMethod", "l_suppkey", 12), ("PhotometricInterpretation", "l_linenumber", 10),
-    ("PlanarConfiguration", "l_linenumber", 4), ("Predictor", "l_linenumber", 5), ("ResolutionUnit", "l_linenumber", 5), ("SampleFormat", "l_linenumber", 6),
+for _enum, _column, _modulus, _every in (
+    ("Tag", "l_partkey", 400, True), ("TagType", "l_partkey", 20, False), ("CompressionMethod", "l_suppkey", 12, True), ("PhotometricInterpretation", "l_linenumber", 10, False),
+    ("PlanarConfiguration", "l_linenumber", 4, False), ("Predictor", "l_linenumber", 5, False), ("ResolutionUnit", "l_linenumber", 5, False), ("SampleFormat", "l_linenumber", 6, True),
 ):
-    _catalog_query(_enum, _column, _modulus)
+    _catalog_query(_enum, _column, _modulus, _every)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {s}, {u})" for n, k, s, u in catalog.TYPES) + ") AS t(name, code, size, swap_unit)")
+@query(f"""SELECT name, code, CASE WHEN name IN ('BYTE', 'ASCII', 'SBYTE', 'UNDEFINED') THEN 1 WHEN name IN ('SHORT', 'SSHORT') THEN 2
+WHEN name IN ('LONG', 'SLONG', 'FLOAT', 'IFD') THEN 4 ELSE 8 END AS size, CASE WHEN name IN ('BYTE', 'ASCII', 'SBYTE', 'UNDEFINED') THEN 1 WHEN name IN ('SHORT', 'SSHORT') THEN 2
+WHEN name IN ('DOUBLE', 'LONG8', 'SLONG8', 'IFD8') THEN 8 ELSE 4 END AS swap_unit FROM (VALUES {_CATALOGUES['TagType']}) AS t(code, name)""")
 def tag_type_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog(spark, "TagType").select("name", "code", "size", "swap_unit")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {i})" for i, (n, k) in enumerate(catalog.TAGS)) + ") AS t(name, code, decl_order)")
+# The order in which the model declares the tags.
+_DECLARED = """Artist BitsPerSample CellLength CellWidth ColorMap Compression Copyright DateTime ExtraSamples FillOrder FreeByteCounts FreeOffsets GrayResponseCurve
+GrayResponseUnit HostComputer ImageDescription ImageLength ImageWidth Make MaxSampleValue MinSampleValue Model NewSubfileType Orientation PhotometricInterpretation
+PlanarConfiguration ResolutionUnit RowsPerStrip SamplesPerPixel Software StripByteCounts StripOffsets SubfileType Threshholding XResolution YResolution Predictor TileWidth
+TileLength TileOffsets TileByteCounts SampleFormat SMinSampleValue SMaxSampleValue JPEGTables ModelPixelScaleTag ModelTransformationTag ModelTiepointTag GeoKeyDirectoryTag
+GeoDoubleParamsTag GeoAsciiParamsTag GdalNodata"""
+
+
+@query(f"""SELECT name, code, CAST(list_position(string_split_regex('{_DECLARED}', '\\s+'), name) - 1 AS INTEGER) AS decl_order FROM (VALUES {_CATALOGUES['Tag']}) AS t(code, name)""")
 def tag_catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog(spark, "Tag").select("name", "code", "decl_order")
 
@@ -641,3 +669,186 @@ def color_type_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.array(*[F.lit(k) for k in catalog.COLOR_TYPES]), (c("n_nationkey") % 8 + 1).cast("int"))
     color = catalog.color_type(kinds, c("n_nationkey") % 17, c("n_nationkey"))
     return table(spark, sf_dir, "nation").select("n_nationkey", catalog.bit_depth(color).alias("depth"), color["num_samples"].alias("samples"))
+
+
+# Files -----------------------------------------------------------------------
+
+
+def _pick(*values: str) -> Column:
+    """One of the hex strings, by p_partkey."""
+    return F.unhex(F.element_at(F.array(*[F.lit(v) for v in values]), (c("p_partkey") % len(values) + 1).cast("int")))
+
+
+@query("""SELECT p_partkey, [NULL, NULL, 'TiffSignatureNotFound', 'TiffSignatureInvalid', NULL, 'TiffSignatureInvalid', 'IoError', 'TiffSignatureNotFound'][p_partkey % 8 + 1] AS error,
+[true, false, NULL, NULL, true, NULL, NULL, NULL][p_partkey % 8 + 1] AS little_endian, [false, false, NULL, NULL, true, NULL, NULL, NULL][p_partkey % 8 + 1] AS bigtiff,
+[8, 258, NULL, NULL, 16, NULL, NULL, NULL][p_partkey % 8 + 1]::BIGINT AS first_ifd FROM part""")
+def header_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = _pick("49492A0008000000", "4D4D002A00000102", "58582A0008000000", "49492C0008000000", "49492B00080000001000000000000000", "49492B0004000000", "49492A000800", "")
+    heads = files.with_header(table(spark, sf_dir, "part").select("p_partkey", content.alias("content")))
+    return heads.select("p_partkey", "error", "little_endian", "bigtiff", long(c("first_ifd")).alias("first_ifd"))
+
+
+def _chained(spark: SparkSession, sf_dir: str, last: Column, cut: int = 0) -> DataFrame:
+    """Files of s_suppkey % 90 + 1 empty directories in a row, of which the last points to ``last``."""
+    n = (c("s_suppkey") % 90 + 1).cast("int")
+    link = lambda k: F.concat(F.lit("0000"), F.hex(encode.write_integer(F.when(k == n, last).otherwise(8 + 6 * k), 4, True)))
+    digits = F.concat(F.lit("49492A0008000000"), F.array_join(F.transform(F.sequence(F.lit(1), n), link), ""))
+    made = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("file_id"), F.unhex(F.substring(digits, F.lit(1), F.length(digits) - 2 * cut)).alias("content"))
+    return files.ifds(files.with_header(made)).select(c("file_id").alias("s_suppkey"), "ifd_index", long(c("ifd_offset")).alias("ifd_offset"), "error")
+
+
+_CHAIN = "SELECT s_suppkey, CAST(k AS INTEGER) AS ifd_index, 8 + 6 * k AS ifd_offset, CAST(NULL AS VARCHAR) AS error FROM (SELECT s_suppkey, unnest(range(s_suppkey % 90 + 1)) AS k FROM supplier)"
+
+
+@query(_CHAIN)
+def chain_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chained(spark, sf_dir, F.lit(0))
+
+
+@query(f"""{_CHAIN} UNION ALL SELECT s_suppkey, CAST(s_suppkey % 90 + 1 AS INTEGER), CASE WHEN s_suppkey % 2 = 0 THEN 8 ELSE 4000000000 END,
+CASE WHEN s_suppkey % 2 = 0 THEN 'CycleInOffsets' ELSE 'IoError' END FROM supplier""")
+def chain_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last directory points to the first or beyond the end of the file."""
+    return _chained(spark, sf_dir, F.when(c("s_suppkey") % 2 == 0, F.lit(8)).otherwise(F.lit(4000000000)))
+
+
+@query(f"{_CHAIN} UNION ALL SELECT s_suppkey, CAST(s_suppkey % 90 + 1 AS INTEGER), NULL, 'IoError' FROM supplier")
+def chain_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file ends within the pointer behind the last directory."""
+    return _chained(spark, sf_dir, F.lit(0), cut=2)
+
+
+def _deferred(spark: SparkSession, sf_dir: str, big: bool, offset: Column) -> DataFrame:
+    """Three LONGs behind an 8-byte header, and the entry that points to ``offset``, loaded from the file."""
+    values = encode.array("LONG", F.array(long(c("o_orderkey")), long(c("o_custkey")), F.lit(7).cast("bigint")))
+    content = F.concat(F.unhex(F.lit("49492A0000000000")), binary.canonical(values["data"], True, F.lit(4)))
+    width = 8 if big else 4
+    entry = F.concat(encode.write_integer(F.lit(4), 2, True), encode.write_integer(F.lit(3), width, True), encode.write_integer(offset, width, True))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"), entry.alias("buf"))
+    return directory.load_deferred(directory.parse_entry(o, c("buf"), True, big), c("content"), True)
+
+
+@query("SELECT o_orderkey, false AS is_inline, 8 AS at, printf('%08X', o_orderkey) || printf('%08X', o_custkey) || '00000007' AS data FROM orders")
+def load_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deferred(spark, sf_dir, False, F.lit(8)).select("o_orderkey", "is_inline", long(c("offset")).alias("at"), F.hex("data").alias("data"))
+
+
+@query("SELECT o_orderkey, false AS is_inline, 8 AS at, printf('%08X', o_orderkey) || printf('%08X', o_custkey) || '00000007' AS data FROM orders")
+def load_deferred_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deferred(spark, sf_dir, True, F.lit(8)).select("o_orderkey", "is_inline", long(c("offset")).alias("at"), F.hex("data").alias("data"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 = 0 AS loaded, CASE WHEN o_orderkey % 4 <> 0 THEN 'IoError' END AS error FROM orders")
+def load_deferred_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets within the file, one byte too far, beyond 2^31 and beyond 2^63."""
+    offset = F.element_at(F.array(*[F.lit(x).cast(U64) for x in ("8", "9", "3000000000", str((1 << 64) - 1))]), (c("o_orderkey") % 4 + 1).cast("int"))
+    return _deferred(spark, sf_dir, True, offset).select("o_orderkey", c("data").isNotNull().alias("loaded"), "error")
+
+
+@query("""SELECT o_orderkey, i AS chunk, CASE WHEN i < 3 THEN hex(encode(substr(printf('%010d', o_orderkey), 2 * i + 1, i + 2))) END AS data
+FROM (SELECT o_orderkey, unnest(range(4)) AS i FROM orders)""")
+def chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes 2 i .. 3 i + 2 of a file of ten bytes as chunk i; the fourth begins beyond 2^31."""
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("file_id"), F.encode(F.lpad(c("o_orderkey").cast("string"), 10, "0"), "UTF-8").alias("content"))
+    places = F.array(*[F.struct(F.lit(i).cast("bigint").alias("chunk"), F.lit(2 * i if i < 3 else 3000000000).cast(U64).alias("offset"), F.lit(i + 2).cast(U64).alias("byte_count")) for i in range(4)])
+    wanted = o.select("file_id", F.inline(places))
+    return files.chunk_bytes(o, wanted).select(c("file_id").alias("o_orderkey"), "chunk", F.hex("bytes").alias("data"))
+
+
+@query("""SELECT p_partkey, lv AS ifd_index, k AS chunk, CASE WHEN lv < 2 AND k < 3 THEN 1000 + 100 * lv + 10 * k END AS "offset", CASE WHEN lv < 2 AND k < 3 THEN 5 + k END AS byte_count,
+CASE WHEN lv > 1 THEN 'OverviewNotLoaded(' || lv || ')' WHEN k > 2 THEN 'LimitsExceeded' END AS error FROM (SELECT p_partkey, p_partkey % 4 AS lv, p_partkey % 5 AS k FROM part)""")
+def get_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with two overviews of three strips; overviews 0 to 3 and chunks 0 to 4 are asked for."""
+    levels = []
+    for level in (0, 1):
+        more = [
+            (256, encode.scalar("SHORT", F.lit(40)), None),
+            (257, encode.scalar("SHORT", F.lit(30)), None),
+            (262, encode.scalar("SHORT", F.lit(1)), None),
+            (278, encode.scalar("SHORT", F.lit(10)), None),
+            (273, encode.array("LONG", F.array(*[F.lit(1000 + 100 * level + 10 * i) for i in range(3)])), None),
+            (279, encode.array("SHORT", F.array(*[F.lit(5 + i) for i in range(3)])), None),
+        ]
+        levels.append(_image_entries(spark, sf_dir, more).withColumn("ifd_index", F.lit(level).cast("bigint")))
+    images = image.images(levels[0].unionByName(levels[1]), ["p_partkey", "ifd_index"], layout=True)
+    wanted = table(spark, sf_dir, "part").select("p_partkey", (c("p_partkey") % 4).alias("ifd_index"), (c("p_partkey") % 5).alias("chunk"))
+    got = image.get_chunk(images, wanted, ["p_partkey"])
+    return got.select("p_partkey", "ifd_index", "chunk", long(c("offset")).alias("offset"), long(c("byte_count")).alias("byte_count"), "error")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'Uint' WHEN p_partkey % 11 = 10 THEN 'IEEEFP' END AS sample_format, CASE WHEN p_partkey % 11 = 0 THEN 1 WHEN p_partkey % 11 = 10 THEN 32 END AS bits_per_sample,
+[NULL, 'InvalidTagValueType(347)', 'UnsupportedSampleFormat', 'InconsistentBitsPerSample', 'InconsistentSizesEncountered', 'InconsistentBitsPerSample', 'InconsistentSizesEncountered',
+'InvalidTagValueType(TileWidth)', 'RequiredTagNotFound(TileWidth)', 'InvalidTagValueType(TileLength)', NULL][p_partkey % 11 + 1] AS error FROM part""")
+def image_layout_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JPEG tables, sample formats, bits per sample, strips and tiles: one fault for each remainder of the key."""
+    k = c("p_partkey") % 11
+    short = lambda *v: encode.array("SHORT", F.array(*[F.lit(x) for x in v]))
+    tiles = k.between(7, 9)
+    more = [
+        (256, short(40), None),
+        (257, short(10), None),
+        (262, short(1), None),
+        (259, short(7), k.isin(1, 10)),
+        (347, encode.array("UNDEFINED", F.when(k == 1, F.array(F.lit(255))).otherwise(F.array(F.lit(255), F.lit(216), F.lit(255)))), k.isin(1, 10)),
+        (277, short(2), k.isin(3, 4)),
+        (339, short(1, 2), k == 2),
+        (339, short(3), k == 10),
+        (258, short(8, 16), k == 3),
+        (258, short(8, 8, 8), k == 4),
+        (258, short(0), k == 5),
+        (258, short(32), k == 10),
+        (278, short(0), k == 6),
+        (273, encode.array("LONG", F.array(F.lit(1000))), ~tiles),
+        (279, encode.array("LONG", F.array(F.lit(400))), ~tiles),
+        (322, encode.scalar("SHORT", F.when(k == 7, 0).otherwise(16)), tiles & (k != 8)),
+        (323, encode.scalar("SHORT", F.when(k == 9, 0).otherwise(16)), tiles),
+        (324, encode.array("LONG", F.array(F.lit(1000))), tiles),
+        (325, encode.array("LONG", F.array(F.lit(400))), tiles),
+    ]
+    found = image.images(_image_entries(spark, sf_dir, more), ["p_partkey"], layout=True)
+    return found.select("p_partkey", "sample_format", "bits_per_sample", "error")
+
+
+@query("SELECT o_orderkey, o_custkey % 3 <> 0 AS same FROM orders")
+def directory_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories whose second entry differs in its value, or is absent on one side."""
+    o = table(spark, sf_dir, "orders")
+
+    def made(second: Column, there: Column) -> DataFrame:
+        rows = F.array(F.struct(F.lit(256).alias("tag"), encode.scalar("LONG", c("o_orderkey")).alias("e"), F.lit(True).alias("there")), F.struct(F.lit(257).alias("tag"), encode.scalar("LONG", second).alias("e"), there.alias("there")))
+        e = o.select("o_orderkey", F.explode(rows).alias("x")).where("x.there")
+        return e.select("o_orderkey", "x.tag", "x.e.type_code", "x.e.count", F.lit(None).cast(U64).alias("offset"), "x.e.data")
+
+    other = c("o_custkey") % 3 == 0
+    b = made(c("o_custkey") + F.when(other, 1).otherwise(0), ~other | (c("o_orderkey") % 2 == 0))
+    return directory.same_directories(made(c("o_custkey"), F.lit(True)), b, ["o_orderkey"])
+
+
+_SIGNED_HEX = "CASE WHEN v < 0 THEN printf('%0{w}X', v + {m}) ELSE printf('%0{w}X', v) END"
+
+
+@query(f"""SELECT n_nationkey, {_SIGNED_HEX.format(w=2, m=256)} AS i8, {_SIGNED_HEX.format(w=4, m=65536)} AS i16, CASE WHEN v < 0 THEN 'FFFFFFFF' || printf('%08X', v + 4294967296) ELSE printf('%016X', v) END AS i64,
+printf('%016X', n_nationkey) AS ifd8, ['C1500000', 'C1400000', '00000000', '3F400000'][n_nationkey % 4 + 1] AS f32,
+['C02A000000000000', 'C028000000000000', '0000000000000000', '3FE8000000000000'][n_nationkey % 4 + 1] AS f64 FROM (SELECT n_nationkey, n_nationkey - 12 AS v FROM nation)""")
+def encode_signed_float_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = lambda t, v: F.hex(encode.scalar(t, v)["data"])
+    v = c("n_nationkey") - 12
+    x = F.element_at(F.array(F.lit(-13.0), F.lit(-12.0), F.lit(0.0), F.lit(0.75)), (c("n_nationkey") % 4 + 1).cast("int"))
+    t = table(spark, sf_dir, "nation")
+    return t.select("n_nationkey", h("SBYTE", v).alias("i8"), h("SSHORT", v).alias("i16"), h("SLONG8", v).alias("i64"), h("IFD8", c("n_nationkey")).alias("ifd8"), h("FLOAT", x).alias("f32"), h("DOUBLE", x).alias("f64"))
+
+
+def _two(kind: str) -> str:
+    width, one, two = {"u8": (2, "n", "7"), "u16": (4, "n", "700"), "u64": (16, "n", "700"), "ifd": (8, "n", "700"), "i8": (2, "n", "251"), "i16": (4, "n", "65531"), "i32": (8, "n", "4294967291")}[kind]
+    return f"printf('%0{width}X', {one}) || printf('%0{width}X', {two})"
+
+
+@query(f"""SELECT n AS n_nationkey, {', '.join(f'{_two(k)} AS {k}' for k in ('u8', 'u16', 'u64', 'ifd', 'i8', 'i16', 'i32'))}, printf('%016X', n) || 'FFFFFFFFFFFFFFFB' AS i64,
+'3F800000C0000000' AS f32, '3FF0000000000000C000000000000000' AS f64 FROM (SELECT n_nationkey AS n FROM nation)""")
+def encode_slices_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of two numbers of every type."""
+    n = long(c("n_nationkey"))
+    lists = {"u8": ("BYTE", 7), "u16": ("SHORT", 700), "u64": ("LONG8", 700), "ifd": ("IFD", 700), "i8": ("SBYTE", -5), "i16": ("SSHORT", -5), "i32": ("SLONG", -5), "i64": ("SLONG8", -5)}
+    whole = [F.hex(encode.array(t, F.array(n, F.lit(v).cast("bigint")))["data"]).alias(k) for k, (t, v) in lists.items()]
+    floats = [F.hex(encode.array(t, F.array(F.lit(1.0), F.lit(-2.0)))["data"]).alias(k) for k, t in (("f32", "FLOAT"), ("f64", "DOUBLE"))]
+    return table(spark, sf_dir, "nation").select("n_nationkey", *whole, *floats)

@@ -2,72 +2,122 @@
 
 ``spark.dataSource.register(DirectorySource)``, then
 ``spark.read.format("tag_directories").option("path", glob).load()`` gives a row per
-directory: file_id, ifd_index, ifd_offset, little_endian, bigtiff, buf, error. One
-partition per file; each read seeks to the header and to every directory of the chain
-and to nothing else. The chain ends at offset 0, at an offset met before or at the end
-of the file; the option ``most`` bounds it only where it is given. Paths are those of a file system mounted on all workers.
+directory: file_id, ifd_index, ifd_offset, little_endian, bigtiff, buf, error. Each
+read seeks to the header and to every directory of the chain and to nothing else. The
+chain ends at offset 0, at an offset met before (CycleInOffsets) or where the file ends
+(IoError); errors are a last row without buf.
+
+Paths are those of a file system mounted on all workers, or URIs of any file system
+that Arrow opens (``s3://``, ``gs://``, ``hdfs://``, ``file://``). ``*``, ``?`` and
+``[..]`` may stand in the last parts of a path. The driver lists names only; a
+partition reads ``files_per_partition`` files (16).
 """
 
 from __future__ import annotations
 
-import glob
 from collections.abc import Iterator
-from itertools import count as count_up
+from fnmatch import fnmatchcase
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file_id string, ifd_index int, ifd_offset decimal(20,0), little_endian boolean, bigtiff boolean, buf binary, error string"
 
 
+def opened(path: str):
+    """(file system, path within it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def listed(path: str) -> list[str]:
+    """The files that a path with wildcards names; a folder names all files below it."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.rpartition("://")
+    parts = rest.split("/")
+    plain = next((k for k, p in enumerate(parts) if set(p) & set("*?[")), len(parts))
+    where, base = opened(scheme + mark + ("/".join(parts[:plain]) or "/"))
+    info = where.get_file_info(base)
+    if info.type == fs.FileType.File:
+        return [path]
+    if info.type == fs.FileType.NotFound:
+        return []
+    depth, wild = len(base.rstrip("/").split("/")), parts[plain:]
+    found = []
+    for f in where.get_file_info(fs.FileSelector(base, recursive=len(wild) != 1)):
+        own = f.path.split("/")[depth:]
+        if f.type == fs.FileType.File and (not wild or (len(own) == len(wild) and all(map(fnmatchcase, own, wild)))):
+            found.append("/".join([scheme + mark + "/".join(parts[:plain]).rstrip("/"), *own]))
+    return sorted(found)
+
+
 class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
 
 
 class DirectoryReader(DataSourceReader):
-    def __init__(self, path: str, most: int | None = None):
-        self.path, self.most = path, most
+    def __init__(self, path: str, files_per_partition: int = 16):
+        self.path, self.files_per_partition = path, files_per_partition
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in sorted(glob.glob(self.path))]
+        paths = listed(self.path)
+        return [FilePartition(paths[k : k + self.files_per_partition]) for k in range(0, len(paths), self.files_per_partition)]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        from decimal import Decimal
-
-        path = partition.path
-        with open(path, "rb") as f:
-            head = f.read(16)
-            little = {b"II": True, b"MM": False}.get(head[:2])
-            if little is None:
-                yield (path, None, None, None, None, None, "TiffSignatureNotFound")
-                return
-            order = "little" if little else "big"
-            number = lambda b: int.from_bytes(b, order)
-            version = number(head[2:4])
-            if version not in (42, 43) or (version == 43 and (number(head[4:6]), number(head[6:8])) != (8, 0)):
-                yield (path, None, None, little, None, None, "TiffSignatureInvalid")
-                return
-            big = version == 43
-            count, stride, width = (8, 20, 8) if big else (2, 12, 4)
-            at, met = number(head[8:16] if big else head[4:8]), set()
-            for k in count_up() if self.most is None else range(self.most):
-                if not at:
-                    return
-                if at in met:
-                    yield (path, k, Decimal(at), little, big, None, "CycleInOffsets")
-                    return
-                met.add(at)
-                f.seek(at)
-                start = f.read(count)
-                rest = f.read(number(start) * stride + width) if len(start) == count else b""
-                if len(start) < count:
-                    yield (path, k, Decimal(at), little, big, None, "IoError")
-                    return
-                whole = number(start) * stride
-                yield (path, k, Decimal(at), little, big, start + rest[:whole], None)
-                following = rest[whole : whole + width]
-                at = number(following) if len(following) == width else 0
+        for path in partition.paths:
+            where, inside = opened(path)
+            with where.open_input_file(inside) as f:
+                yield from directories(path, f)
+
+
+def directories(path: str, f) -> Iterator[tuple]:
+    """The rows of one file, which has seek(), read() and size()."""
+    from decimal import Decimal
+
+    size = f.size()
+
+    def at_most(at: int, n: int) -> bytes:
+        if at >= size:
+            return b""
+        f.seek(at)
+        return f.read(min(n, size - at))
+
+    head = at_most(0, 16)
+    little = {b"II": True, b"MM": False}.get(head[:2])
+    if little is None:
+        yield (path, 0, None, None, None, None, "TiffSignatureNotFound")
+        return
+    order = "little" if little else "big"
+    number = lambda b: int.from_bytes(b, order)
+    version = number(head[2:4])
+    if version not in (42, 43) or (version == 43 and (number(head[4:6]), number(head[6:8])) != (8, 0)):
+        yield (path, 0, None, None, None, None, "TiffSignatureInvalid")
+        return
+    big = version == 43
+    count, stride, width = (8, 20, 8) if big else (2, 12, 4)
+    first = head[8:16] if big else head[4:8]
+    if len(first) < width:
+        yield (path, 0, None, None, None, None, "IoError")
+        return
+    at, met = number(first), set()
+    while at:
+        k = len(met)
+        start = b"" if at in met else at_most(at, count)
+        if len(start) < count:
+            yield (path, k, Decimal(at), little, big, None, "CycleInOffsets" if at in met else "IoError")
+            return
+        met.add(at)
+        whole = number(start) * stride
+        rest = at_most(at + count, whole + width)
+        yield (path, k, Decimal(at), little, big, start + rest[:whole], None)
+        following = rest[whole : whole + width]
+        if len(following) < width:
+            yield (path, k + 1, None, little, big, None, "IoError")
+            return
+        at = number(following)
 
 
 class DirectorySource(DataSource):
@@ -79,5 +129,4 @@ class DirectorySource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DirectoryReader:
-        most = self.options.get("most")
-        return DirectoryReader(self.options["path"], int(most) if most else None)
+        return DirectoryReader(self.options["path"], int(self.options.get("files_per_partition", 16)))
