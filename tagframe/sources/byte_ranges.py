@@ -66,8 +66,8 @@ class DirectoryReader(DataSourceReader):
         paths = listed(self.path)
         return [FilePartition(paths[k : k + self.files_per_partition]) for k in range(0, len(paths), self.files_per_partition)]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        for path in partition.paths:
+    def read(self, partition: FilePartition | None) -> Iterator[tuple]:
+        for path in partition.paths if partition else []:  # no partitions at all are one without paths
             where, inside = opened(path)
             with where.open_input_file(inside) as f:
                 yield from directories(path, f)

@@ -80,6 +80,34 @@ def test_byte_ranges_of_a_long_chain(spark, tmp_path):
     assert d.where("error IS NULL").count() == 70 and d.count() == 70
 
 
+def test_broken_files(spark, tmp_path):
+    """Both readers give the same rows: chains that end early, offsets beyond any file, counts that no file can hold."""
+    (tmp_path / "far.tif").write_bytes(b"II\x2b\0\x08\0\0\0" + b"\xff" * 8)
+    (tmp_path / "many.tif").write_bytes(b"II\x2b\0\x08\0\0\0" + struct.pack("<Q", 16) + b"\xff" * 8 + b"rest")
+    (tmp_path / "cut.tif").write_bytes(classic("<", [10])[:-6])
+    (tmp_path / "loop.tif").write_bytes(classic("<", [10, 20], last_to_first=True))
+    (tmp_path / "short.tif").write_bytes(b"MM\0\x2a\0\0")
+    spark.dataSource.register(DirectorySource)
+    ranges = spark.read.format("tag_directories").option("path", str(tmp_path)).option("files_per_partition", 2).load()
+    whole = files.ifds(files.with_header(files.read_files(spark, str(tmp_path), "*.tif")))
+    names = ("file_id", "ifd_index", "error")
+    expected = [("cut.tif", 0, None), ("cut.tif", 1, "IoError"), ("far.tif", 0, "IoError"), ("loop.tif", 0, None), ("loop.tif", 1, None), ("loop.tif", 2, "CycleInOffsets")]
+    assert [r for r in short(whole.where("file_id NOT LIKE '%many%'").collect(), *names) if r[0] != "short.tif"] == expected
+    assert [r for r in short(ranges.where("file_id NOT LIKE '%many%'").collect(), *names) if r[0] != "short.tif"] == expected
+    assert short(ranges.where("file_id LIKE '%short%' OR file_id LIKE '%many%'").collect(), *names) == [("many.tif", 0, None), ("many.tif", 1, "IoError"), ("short.tif", 0, "IoError")]
+    # Each of them keeps what there is of the entries.
+    assert files.entries(whole).where("file_id LIKE '%loop%' AND tag = 256").count() == 2
+    assert files.entries(whole).where("error IS NOT NULL").count() >= 4
+
+
+def test_byte_ranges_of_uris(spark, tmp_path):
+    write(tmp_path)
+    spark.dataSource.register(DirectorySource)
+    d = spark.read.format("tag_directories").option("path", f"file://{tmp_path}/[ab].tif").load()
+    assert d.where("error IS NULL").count() == 3
+    assert spark.read.format("tag_directories").option("path", f"{tmp_path}/none/*.tif").load().count() == 0
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
