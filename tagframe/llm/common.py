@@ -3,14 +3,20 @@
 Staging: an operator that needs a result twice, or that must not be recomputed
 when an executor is lost, writes it as Parquet under ``spark.checkpoint.dir``
 (shared by driver and executors) and reads it back. That cuts the lineage with
-files instead of blocks in executor memory.
+files instead of blocks in executor memory. So an operator may run jobs when it is
+called, before its result is asked for; what it has staged stays until drop_staged().
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +53,17 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tagframe-{app}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the staged tables that are still there, in the order of their writing.
+STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the reread table."""
+    """Write ``df`` to the shared folder, at once, and return the reread table."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,16 +74,46 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete all staged tables of this application; call it when its results are written."""
-    drop_path(spark, f"{shared_folder(spark)}/tagframe-{spark.sparkContext.applicationId}")
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of ``rows``, unless the session says otherwise: Spark's 10,000 long texts need much memory on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def drop_staged(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the staged tables from number ``since`` on, apart from the last ``but``; call it when the results made of them are written."""
+    gone = STAGED[since : len(STAGED) - but]
+    for path in gone:
+        drop_path(spark, path)
+    del STAGED[since : since + len(gone)]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> Iterator[None]:
+    """Meanwhile texts go to Python in batches of that many rows and bytes: Spark's 10,000 long texts need much memory on both sides."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release() -> None:
+    """Give free memory of this Python worker back: it may stay idle beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_width(spark: SparkSession) -> int:
