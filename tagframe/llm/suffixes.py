@@ -5,25 +5,28 @@ removed, in all places. Four steps:
 
 1. Anchors. Of each window of ``length`` bytes the k-gram with the least hash
    (leftmost of equals) is its anchor, so equal windows have equal anchors at equal
-   offsets. Windows in a row with one anchor occurrence form a context. Only
-   anchors that occur twice matter further; contexts that are equal byte for byte
-   (128 bits: hash of the anchor and of the context) are repeated as a whole.
-2. Anchors with several different contexts are dealt into blocks of bounded size.
-   In a block the contexts are concatenated and their suffixes sorted, which gives
-   the Burrows-Wheeler transform; breadth-first backward extension of intervals
-   then sets the boundaries between suffixes whose common prefix is 0, 1, 2, ..
-   bytes long and stops at ``length``: boundaries not set by then part nothing, and
-   windows between the same two boundaries are equal.
-3. An anchor with more than ``group_most`` different contexts (a passage in very many
-   surroundings) would not fit a block: its windows are told apart by fingerprints
-   instead, counted with partial sums, so the group spreads over all workers.
-4. The window starts found are united per document and the bytes cut out.
-
-Documents with equal texts are one text for all this; they repeat each other, so
-with ``length`` bytes or more nothing of them is left. Texts are told apart by
-their 64-bit hash. Matches never cross documents. Null text counts as empty;
-repeated rows are copies; null doc_ids are ids like any other; an empty table
-gives no rows; other columns are kept by remove() and ignored by digests().
+   offsets. Windows in a row with one anchor occurrence form a context. Only anchors
+   that occur twice matter further. Contexts that are equal byte for byte (128 bits:
+   hash of the anchor and of the context) are one string that counts several times.
+2. Blocks. The contexts of one anchor meet in one block; anchors are dealt into blocks
+   by their running size. In a block the contexts are concatenated and their suffixes
+   sorted, which gives the Burrows-Wheeler transform; breadth-first backward extension
+   of intervals then sets the boundaries between suffixes whose common prefix is
+   0, 1, 2, .. bytes long and stops at ``length``: boundaries not set by then part
+   nothing, windows between the same two boundaries are equal, and they are repeated
+   if their contexts count more than once together.
+3. An anchor whose contexts would not fit a block (a passage in very many surroundings)
+   is divided: contexts are cut into shorter runs of windows at fixed offsets from the
+   anchor, and what all windows of such offsets have in common, their core, is the new anchor.
+   Equal windows have equal offsets and so equal cores. Runs are 16 windows and then
+   one window long; of single windows with one core there is only one.
+4. Verdicts go back to all places of a context, are united per text, and the bytes cut out.
+
+Documents with equal texts (md5 of the text) are one text for all this; they repeat
+each other, so with ``length`` bytes or more nothing of them is left. Matches never
+cross documents. Null text counts as empty; repeated rows are copies; null doc_ids are
+ids like any other; an empty table gives no rows; other columns are kept by remove()
+and ignored by digests().
 """
 
 from __future__ import annotations
@@ -37,10 +40,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tagframe.llm import common
 
-LENGTH, GROUP_MOST, BLOCK_BYTES = 400, 2048, 2 << 20
+LENGTH, BLOCK_BYTES = 400, 1 << 20
+#: Windows of a run where the contexts of an anchor do not fit a block.
+RUNS = (16, 1)
+#: Bytes that a worker gathers before it hands them on.
+OUT_BYTES = 4 << 20
 #: Windows hashed at a time: longer texts are taken in overlapping parts.
 PART = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -103,52 +111,29 @@ def contexts(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def united(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges, ends included, as few as cover the same numbers."""
-    out: list[tuple[int, int]] = []
-    for i, j in sorted(zip(first.tolist(), last.tolist(), strict=True)):
-        if out and i <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(j, out[-1][1]))
-        else:
-            out.append((i, j))
-    return out
-
-
-INSTANCES = "text_key long, first long, last long, anchor long, context long, times int"
+CONTEXTS = "text_key binary, first int, last int, anchor long, context long"
 
 
 def instances(texts: DataFrame, length: int) -> DataFrame:
-    """Contexts of each distinct text of (text_key, text); those that a text repeats itself once with times 2, and their ranges with times 0."""
+    """The contexts of each text of (text_key, text), of equal texts in one part of the input once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            keys: list[bytes] = []
+            cols: list[tuple[np.ndarray, ...]] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
-                data = text.encode()
-                anchor, context, first, last = contexts(data, length)
-                if not len(anchor):
-                    continue
-                _, at, again, n = np.unique(anchor ^ (context * np.uint64(3)), return_index=True, return_inverse=True, return_counts=True)
-                own = n[again] > 1
-                times = np.minimum(n[again], 2).astype(np.int32)
-                keep = np.zeros(len(anchor), bool)
-                keep[at] = True
-                rows = [first[keep], last[keep], anchor[keep].view(np.int64), context[keep].view(np.int64), times[keep]]
-                if own.any():
-                    runs = united(first[own], last[own])
-                    zero = np.zeros(len(runs), np.int64)
-                    rows = [np.concatenate([a, b]) for a, b in zip(rows, [np.array([r[0] for r in runs]), np.array([r[1] for r in runs]), zero, zero, zero.astype(np.int32)], strict=True)]
-                cols[0].append(np.full(len(rows[0]), key, np.int64))
-                for c, r in zip(cols[1:], rows, strict=True):
-                    c.append(r)
-            if cols[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["text_key", "first", "last", "anchor", "context", "times"])
-
-    return texts.mapInArrow(run, INSTANCES)
+                anchor, context, first, last = contexts(text.encode(), length)
+                keys += [key] * len(anchor)
+                cols.append((first.astype(np.int32), last.astype(np.int32), anchor.view(np.int64), context.view(np.int64)))
+            if keys:
+                yield pa.record_batch([pa.array(keys, pa.binary()), *(pa.array(np.concatenate(c)) for c in zip(*cols, strict=True))], names=["text_key", "first", "last", "anchor", "context"])
+        common.release()
+
+    return texts.mapInArrow(run, CONTEXTS)
 
 
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
@@ -220,112 +205,168 @@ def boundaries(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return set_
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Whether the window at each of ``starts`` equals that at another of them."""
+def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, times: np.ndarray | None = None) -> np.ndarray:
+    """Whether the window at each of ``starts``, which counts ``times`` (once), equals that at another of them or counts several times."""
     # An end mark that is less than any byte makes the suffixes those of a ring.
-    text = np.concatenate([data.astype(np.int64) + 1, [0]])
+    text = np.concatenate([data.astype(np.int16) + np.int16(1), np.zeros(1, np.int16)])
     order = suffix_order(text, length)
     parts = boundaries(text, order, length)
     label = np.empty(len(text), np.int64)
     label[order] = np.cumsum(parts[:-1])
     mine = label[starts]
-    return np.bincount(mine)[mine] > 1
+    return np.bincount(mine, weights=times)[mine] > 1
 
 
 def in_block(length: int):
+    """(anchor, context, low, high): the runs of repeated windows of the contexts of a block, from each context's first window."""
+
     def run(table: pa.Table) -> pa.Table:
-        seen, keys, firsts, chunks = set(), [], [], []
-        for anchor, context, key, first, data in zip(*(table.column(c).to_pylist() for c in ("anchor", "context", "text_key", "first", "data")), strict=True):
-            if (anchor, context) not in seen:  # a text's copies bring the same context again
-                seen.add((anchor, context))
-                keys.append(key)
-                firsts.append(first)
-                chunks.append(data)
+        chunks = table.column("data").to_pylist()
         n = np.array([len(c) - length + 1 for c in chunks])
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in chunks])[:-1]])
         owner = np.repeat(np.arange(len(chunks)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = repeated_windows(np.frombuffer(b"".join(chunks), np.uint8), offsets[owner] + within, length)
+        times = np.minimum(table.column("n").to_numpy(), 2)[owner]
+        hit = repeated_windows(np.frombuffer(b"".join(chunks), np.uint8), offsets[owner] + within, length, times)
         owner, within = owner[hit], within[hit]
         new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(within) != 1)]) if len(owner) else np.empty(0, bool)
         i = np.flatnonzero(new)
         j = np.concatenate([i[1:], [len(owner)]]) - 1 if len(i) else i
-        key, first = np.array(keys, np.int64)[owner[i]], np.array(firsts, np.int64)[owner[i]]
-        return pa.table({"text_key": pa.array(key), "first": pa.array(first + within[i]), "last": pa.array(first + within[j])})
+        of = pa.array(owner[i])
+        common.release()
+        return pa.table({"anchor": table.column("anchor").take(of), "context": table.column("context").take(of), "low": pa.array(within[i].astype(np.int32)), "high": pa.array(within[j].astype(np.int32))})
 
     return run
 
 
-def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of contexts: wanted (text_key, ranges array<struct<anchor, context, first, last, block>>)."""
+def fetched(texts: DataFrame, wanted: DataFrame, length: int, kept: str) -> DataFrame:
+    """``wanted`` (anchor, context, n, text_key, first, last and ``kept``, a long) with the bytes of each context instead of its place."""
+    each = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "context", "n", kept, "first", "last")).alias("ranges"))
+    # Copies of a text are sent once by each part of the input, and read once. Both sides grow with the input: no broadcast.
+    joined = texts.dropDuplicates(["text_key"]).join(each.hint("merge"), "text_key").select("text", "ranges")
+    types = [pa.int64()] * 4 + [pa.binary()]
+    names = ["anchor", "context", "n", kept, "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
         for batch in batches:
-            rows = []
-            for key, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                rows += [(r["block"], r["anchor"], r["context"], key, r["first"], data[r["first"] : r["last"] + length]) for r in ranges]
-            types = [pa.int64()] * 5 + [pa.binary()]
-            names = ["block", "anchor", "context", "text_key", "first", "data"]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+                for r in ranges:
+                    part = data[r["first"] : r["last"] + length]
+                    rows.append((r["anchor"], r["context"], r["n"], r[kept], part))
+                    size += len(part) + 200
+                    if size > OUT_BYTES:
+                        yield out()
+                        rows, size = [], 0
+        if rows:
+            yield out()
+        common.release()
 
-    joined = texts.join(wanted, "text_key").select("text_key", "text", "ranges")
-    return joined.mapInArrow(run, "block long, anchor long, context long, text_key long, first long, data binary")
+    return joined.mapInArrow(run, f"anchor long, context long, n long, {kept} long, data binary")
 
 
-def fingerprints(found: DataFrame, length: int) -> DataFrame:
-    """text_key, first, a, b: two hashes of every window of fetched contexts."""
+def divided(found: DataFrame, length: int, windows: int) -> DataFrame:
+    """Contexts (anchor, context, n, data) cut into runs of ``windows`` windows: of_anchor, of_context, low, then anchor, context, n, data of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(data) - length + 1
-                pairs = np.array([(xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(w, seed=1)) for w in (data[i : i + length] for i in range(n))], np.uint64).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(n, key, np.int64)), pa.array(np.arange(first, first + n)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["text_key", "first", "a", "b"])
-
-    return found.select("text_key", "first", "data").mapInArrow(run, "text_key long, first long, a long, b long")
+            rows = []
+            for anchor, context, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count = len(data) - length + 1
+                # A context's windows have their anchor at one place.
+                place = int(anchored(np.frombuffer(data, np.uint8), length)[1][0])
+                low = 0
+                while low < count:
+                    offset, kind = (place - low) % windows, (place - low) // windows
+                    high = min(low + offset, count - 1)
+                    # What all windows with offsets of this kind hold, also where the context has only some of them.
+                    start = place - kind * windows
+                    core = xxhash.xxh3_64_intdigest(data[start : start + length - windows + 1], seed=(anchor ^ kind) & 0xFFFFFFFFFFFFFFFF)
+                    part = data[low : high + length]
+                    rows.append((anchor, context, low, core - (1 << 63), xxhash.xxh3_64_intdigest(part, seed=place - low) - (1 << 63), n, part))
+                    low = high + 1
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["of_anchor", "of_context", "low", "anchor", "context", "n", "data"]
+            for k in range(0, len(rows), 4096):
+                yield pa.record_batch([pa.array([r[c] for r in rows[k : k + 4096]], t) for c, t in enumerate(types)], names=names)
+
+    return found.select("anchor", "context", "n", "data").mapInArrow(run, "of_anchor long, of_context long, low int, anchor long, context long, n long, data binary")
+
+
+def dealt(each: DataFrame, length: int, block_bytes: int, last: bool) -> DataFrame:
+    """Distinct contexts (anchor, context, n, bytes, ..) of anchors that occur twice, with their block: null where an anchor's contexts do not fit one."""
+    anchors = each.groupBy("anchor").agg(F.sum("n").alias("all"), F.sum("bytes").alias("size")).where(F.col("all") > 1)
+    fits = F.lit(True) if last else F.col("size") <= block_bytes
+    # Each bucket fills its blocks one after the other.
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(common.shuffle_width(each.sparkSession)))
+    before = F.coalesce(F.sum(F.when(fits, F.col("size")).otherwise(0)).over(W.partitionBy("bucket").orderBy("anchor").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    block = F.when(fits, F.col("bucket") * F.lit(1 << 32) + F.floor(before / block_bytes))
+    anchors = anchors.withColumn("bucket", bucket).select("anchor", block.alias("block"))
+    return each.join(anchors, "anchor")
+
+
+def judged(found: DataFrame, length: int) -> DataFrame:
+    """Verdicts on the contexts of all blocks."""
+    return found.groupBy("block").applyInArrow(in_block(length), "anchor long, context long, low int, high int")
+
+
+def verdicts(texts: DataFrame, every: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """(anchor, context, low, high) for the distinct contexts of ``every`` (text_key, first, last, anchor, context)."""
+    place = F.min(F.struct("text_key", "first", "last")).alias("at")
+    each = every.groupBy("anchor", "context").agg(F.count("*").alias("n"), place).select("anchor", "context", "n", "at.*")
+    each = common.stage(dealt(each.withColumn("bytes", F.col("last") - F.col("first") + length), length, block_bytes, False), "distinct-contexts")
+    out = judged(fetched(texts, each.where("block IS NOT NULL"), length, "block"), length)
+    large = each.where("block IS NULL").withColumn("block", F.lit(0).cast("long"))
+    if large.isEmpty():
+        return out
+    found = fetched(texts, large, length, "block")
+    ways = []
+    for windows in RUNS:
+        parts = common.stage(divided(found, length, windows), "divided-contexts")
+        each = parts.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
+        each = common.stage(dealt(each.withColumn("bytes", F.octet_length("data")), length, block_bytes, windows == 1), "distinct-parts")
+        ways.append(parts.select("of_anchor", "of_context", F.col("low").alias("shift"), "anchor", "context"))
+        inner = judged(each.where("block IS NOT NULL").select("block", "anchor", "context", "n", "data"), length)
+        for way in reversed(ways):  # back to the contexts that were divided
+            inner = inner.join(way, ["anchor", "context"]).select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+        out = out.union(inner)
+        found = each.where("block IS NULL")
+    return out
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, group_most: int = GROUP_MOST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """text_key, first, last: ranges of window starts in texts (text_key, text) that are repeated in a different or the same text."""
     every = common.stage(instances(texts, length), "contexts")
-    own = every.where("times = 0").select("text_key", "first", "last")
-    every = every.where("times > 0")
-    twice = every.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    # Staged, so that a join can split an anchor that very many contexts have.
+    twice = common.stage(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     every = common.stage(every.join(twice, "anchor", "left_semi"), "anchored")
-    each = every.groupBy("anchor", "context").agg(F.sum("times").alias("n"), F.min(F.struct("text_key", "first", "last")).alias("at"))
-    each = common.stage(each, "distinct-contexts")
-    whole = every.join(each.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("text_key", "first", "last")
-    several = each.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    partial = each.join(several, "anchor").select("anchor", "context", "m", "at.*")
-    partial = common.stage(partial, "partial")
-    fits = F.col("m") <= group_most
-    size = partial.where(fits).agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
-    partial = partial.withColumn("block", F.when(fits, F.pmod(F.xxhash64("anchor"), F.lit(blocks))))
-    wanted = partial.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "context", "first", "last", "block")).alias("ranges"))
-    found = common.stage(fetched(texts, wanted, length), "context-bytes")
-    schema = "text_key long, first long, last long"
-    blocked = found.where("block IS NOT NULL").groupBy("block").applyInArrow(in_block(length), schema)
-    large = fingerprints(found.where("block IS NULL").dropDuplicates(["anchor", "context"]), length)
-    again = large.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    spread = large.join(again, ["a", "b"], "left_semi").select("text_key", "first", F.col("first").alias("last"))
-    return own.union(whole).union(blocked).union(spread)
+    found = common.stage(verdicts(texts, every, length, block_bytes), "verdicts")
+    return every.join(found, ["anchor", "context"]).select("text_key", (F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high")).alias("last"))
 
 
 def key_of(column: str = "text"):
-    return F.xxhash64(common.text_or_empty(column))
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(common.text_or_empty(column).cast("binary")))
 
 
-def removed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(text_key, ranges) of texts that lose part of their bytes, and (text_key) of those that lose all."""
-    common.bounded_batches(docs.sparkSession)
-    texts = docs.select(key_of().alias("text_key"), common.text_or_empty().alias("text"))
-    counted = texts.where(F.octet_length("text") >= length).groupBy("text_key").agg(F.count("*").alias("n"))
-    copies = common.stage(counted.where("n > 1").select("text_key"), "copied-texts")
-    ranges = repeated_ranges(texts, length).join(copies, "text_key", "left_anti")
+    since = len(common.STAGED)
+    long = common.text_or_empty()
+    texts = docs.select(key_of().alias("text_key"), long.alias("text")).where(F.octet_length("text") >= length)
+    copies = texts.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key")
+    copies = common.stage(copies, "copied-texts")
+    ranges = repeated_ranges(texts, length, block_bytes).join(copies, "text_key", "left_anti")
     ranges = ranges.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
-    return common.stage(ranges, "ranges"), copies
+    ranges = common.stage(ranges, "ranges")
+    common.drop_staged(docs.sparkSession, since + 1, 1)
+    return ranges, copies
 
 
 def cut_bytes(data: bytes, ranges: list[dict], length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -344,24 +385,26 @@ def cut_bytes(data: bytes, ranges: list[dict], length: int) -> tuple[list[tuple[
     return [tuple(r) for r in runs], b"".join([*kept, data[at:]])
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    ranges, copies = removed(docs, length)
+    ranges, copies = removed(docs, length, block_bytes)
     text = common.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, spans, sha = [], [], []
+            sizes, n, spans, sha = [], [], [], []
             for text, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs, kept = cut_bytes(text.encode(), r, length)
+                data = text.encode()
+                runs, kept = cut_bytes(data, r, length)
+                sizes.append(len(data))
                 n.append(sum(j - i for i, j in runs))
                 spans.append(len(runs))
                 sha.append(hashlib.sha256(kept).hexdigest())
-            sizes = pa.array([len(t.encode()) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.record_batch([batch.column(0), sizes, pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, n, spans)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    part = rows.join(ranges, "text_key").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    part = rows.join(ranges.hint("merge"), "text_key").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    part = common.stage(part, "cut-digests")
     gone = copies.withColumn("gone", F.lit(True)).union(ranges.select("text_key", F.lit(False).alias("gone")))
     rest = rows.drop("text").join(gone, "text_key", "left").where("gone IS NULL OR gone")
     zero = F.lit(0).cast("long")
@@ -375,22 +418,26 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return part.unionByName(rest)
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with repeated bytes cut out of ``text``; characters cut in two go as a whole."""
-    ranges, copies = removed(docs, length)
-    keyed = docs.withColumn("_key", key_of())
-    gone = copies.select(F.col("text_key").alias("_gone"))
-    some = ranges.select(F.col("text_key").alias("_some"), F.col("ranges").alias("_ranges"))
+    ranges, copies = removed(docs, length, block_bytes)
+    key, gone, some, runs = common.free_names(docs, "key", "gone", "some", "ranges")
+    marks = ranges.select(F.col("text_key").alias(some), F.col("ranges").alias(runs), F.lit(False).alias(gone))
+    marks = marks.unionByName(copies.select(F.col("text_key").alias(some), F.lit(True).alias(gone)), allowMissingColumns=True)
     names = docs.columns
 
+    def cut(text: str | None, ranges: list[dict] | None, all_: bool | None) -> str | None:
+        if ranges is None:
+            return "" if all_ else text
+        return cut_bytes(text.encode(), ranges, length)[1].decode(errors="ignore")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [cut_bytes((t or "").encode(), r, length)[1].decode(errors="ignore") for t, r in zip(batch.column(at).to_pylist(), batch.column("_ranges").to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.record_batch(columns, names=names)
-
-    cut = keyed.join(some, F.col("_key") == F.col("_some")).select(*names, "_ranges").mapInArrow(run, docs.schema)
-    whole = keyed.join(some.select("_some"), F.col("_key") == F.col("_some"), "left_anti").join(gone, F.col("_key") == F.col("_gone"), "left")
-    whole = whole.withColumn("text", F.when(F.col("_gone").isNotNull(), F.lit("")).otherwise(F.col("text"))).select(*names)
-    return cut.unionByName(whole)
+            marked = [batch.column(c).to_pylist() for c in ("text", runs, gone)]
+            texts = pa.array(map(cut, *marked), pa.string())
+            yield pa.record_batch([texts if c == "text" else batch.column(c) for c in names], names=names)
+        common.release()
+
+    # One exchange of the texts; both sides grow with the input: no broadcast.
+    joined = docs.withColumn(key, key_of()).join(marks.hint("merge"), F.col(key) == F.col(some), "left")
+    return common.stage(joined.select(*names, runs, gone).mapInArrow(run, docs.schema), "cut-texts")
