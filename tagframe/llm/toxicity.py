@@ -50,7 +50,6 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 SEPARATORS = ".-_*~'`, "
 EDGES = "\"'.,;:?!()[]{}<>*&%#$|~`-_="
 
-DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(€*#].*[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+(€]+$|([^\W\d_])\1\1").search
 TRIPLE = re.compile(r"([^\W\d_])\1\1").search
 OUTER = "\"'.,;:?()[]{}<>*&%#~`-_="
 SPLIT = re.compile(r"^[^\W_](?:[.\-_*~'`,][^\W_]){2,}$").match
@@ -58,10 +57,24 @@ SINGLE = r"[^\W_]|[@$!|+(€]"
 #: Single characters between white space; quotes and brackets may stand before the first, punctuation behind the last.
 SPACED = re.compile(rf"(?<!\S)[\"'\[{{<]*+((?:{SINGLE})(?:\s+(?:{SINGLE})){{2,}})[\"'.,;:?!)\]}}>]*(?!\S)").findall
 WIDE, ALNUM = re.compile(r"\s\s+|[^\S ]").split, re.compile(r"[^\W_]").search
+LETTER, INNER_SIGN = re.compile(r"[^\W\d_]").search, re.compile(r"[0-9@$!|+(€*#]").search
+BEFORE, BEHIND = re.compile(r"[0-9@$!|+(€]++[^\W\d_]{2}").match, "0123456789@$!|+(€"
 WILDCARDS = "*#"
 LEET_PRICE, REPEAT_PRICE, DROP_PRICE, TWICE_PRICE, WILD_PRICE = -0.7, -0.7, -0.3, -0.2, -1.5
 
 
+def disguised(token: str) -> bool:
+    """Digits or signs between letters, before two or behind two, or a letter three times; in time linear in the token's length."""
+    first = LETTER(token)
+    if first is None:
+        return False
+    last = next(k for k in range(len(token) - 1, -1, -1) if LETTER(token[k]))
+    if (found := INNER_SIGN(token, first.end())) and found.start() < last:
+        return True
+    body = token.rstrip(BEHIND)
+    return bool(BEFORE(token) or TRIPLE(token) or (len(body) < len(token) and len(body) > 1 and LETTER(body[-1]) and LETTER(body[-2])))
+
+
 class Channel:
     """The character model and the decoder; ``counts`` are the trigrams of the words, if counted elsewhere."""
 
@@ -84,8 +97,12 @@ class Channel:
         return self.unseen.get(context, self.never) if found is None else found
 
     def candidates(self, token: str) -> list[tuple[float, str]]:
-        """The best path to each context that the lattice can end in: its price under the character model, and its letters."""
-        paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+        """The best path to each context that the lattice can end in: its price under the character model, and its letters.
+
+        A context is the last two letters, so nothing is lost by keeping one path to each; all are kept.
+        """
+        # context -> price, path: (its last letter, the path before it)
+        paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
         for k, sign in enumerate(token):
             options = [(c, LEET_PRICE) for c in LEET.get(sign, "")]
             if sign in WILDCARDS:
@@ -93,29 +110,36 @@ class Channel:
             if sign.isalpha():
                 options.append((sign, 0.0))
             silent = DROP_PRICE if sign in SEPARATORS or not options else None
-            again = k > 0 and token[k - 1] == sign
-            longer: dict[str, tuple[float, str]] = {}
+            again = {c for c, _ in options} if k > 0 and token[k - 1] == sign else ()
+            longer: dict[str, tuple[float, tuple | None]] = {}
 
-            def offer(context: str, price: float, said: str, longer=longer) -> None:
+            def offer(context: str, price: float, said: tuple | None, longer=longer) -> None:
                 if context not in longer or longer[context][0] < price:
                     longer[context] = (price, said)
 
             for context, (price, said) in paths.items():
                 if silent is not None:
                     offer(context, price + silent, said)
-                if again and said and any(said[-1] == c for c, _ in options):
+                if said and said[0] in again:
                     offer(context, price + REPEAT_PRICE * (k > 1 and token[k - 2] != sign), said)
                 for c, extra in options:
-                    offer(context[1] + c, price + extra + self.step(context, c), said + c)
-            # The beam: contexts are pairs of letters, so this drops only hopeless ones.
-            paths = longer if len(longer) <= 24 else dict(sorted(longer.items(), key=lambda x: -x[1][0])[:24])
-        return [(p + self.step(c, "$"), s) for c, (p, s) in paths.items()]
+                    offer(context[1] + c, price + extra + self.step(context, c), (c, said))
+            paths = longer
+        return [(p + self.step(c, "$"), spelled(said)) for c, (p, said) in paths.items()]
 
     def decode(self, token: str) -> str:
         """The best candidate; log n / total of a known word may beat its price."""
         return max(((max(p, self.words[s] + TWICE_PRICE * len(token)) if s in self.words else p, s) for p, s in self.candidates(token)), default=(0.0, ""))[1]
 
 
+def spelled(path: tuple | None) -> str:
+    letters = []
+    while path is not None:
+        letters.append(path[0])
+        path = path[1]
+    return "".join(reversed(letters))
+
+
 def trigrams(words: Iterable[tuple[str, int]]) -> Counter:
     counts: Counter = Counter()
     for word, n in words:
@@ -154,7 +178,7 @@ def parts(token: str) -> tuple[str, str | None]:
     # One sign before the word may be its first letter; signs behind it are its edge if several.
     if len(wide) > 1 and wide[0] in LEET and not wide[0].isalnum() and wide[1].isalpha():
         bare = wide[0] + bare
-    if SPLIT(bare) or DISGUISED(bare):
+    if SPLIT(bare) or disguised(bare):
         return bare.strip(EDGES), bare
     return bare, None
 
@@ -168,7 +192,7 @@ def restore(token: str, channel: Channel) -> tuple[str, ...]:
 def clean(token: str) -> str | None:
     """The word of a token as the language models count it."""
     word = token.strip(EDGES)
-    return word if word.isalpha() and not DISGUISED(word) else None
+    return word if word.isalpha() and not disguised(word) else None
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -193,19 +217,27 @@ class Model:
             self.channel = Channel(words)
         meant = cache(self.channel.decode) if known is None else known.__getitem__
         positive, total = Counter(), Counter()
-        sets = []
+        # Words and features are numbers, and a document an array of its words' numbers, as all this is held in the driver.
+        number: dict[str, int] = {}
+        names: dict[str, int] = {}
+        of_word: list[tuple[int, ...]] = []
+        rows: list[np.ndarray] = []
         for t, y in zip(texts, labels, strict=True):
-            found: set[str] = set()
+            found: set[int] = set()
             for word, suspect in map(parts, tokens(t)):
-                found.add(word)
-                if suspect is not None:
-                    found.add(meant(suspect))
-            found.discard("")
-            sets.append(found)
-            f = features(found)
+                for w in (word,) if suspect is None else (word, meant(suspect)):
+                    k = number.get(w)
+                    if k is None:
+                        k = number[w] = len(number)
+                        of_word.append(tuple(names.setdefault(f, len(names)) for f in sorted(features([w]))) if w else ())
+                    found.add(k)
+            rows.append(np.array(sorted(found), np.int32))
+            f = set().union(*(of_word[k] for k in found))
             total.update(f)
             if y:
                 positive.update(f)
+        positive = Counter({f: positive[k] for f, k in names.items() if positive[k]})
+        total = Counter({f: total[names[f]] for f in positive})
         n1, n = sum(labels), len(labels)
         self.weights: dict[str, float] = {}
         self.bias = -50.0
@@ -223,13 +255,11 @@ class Model:
 
         ranked = sorted(((surprise(f), f) for f in positive if positive[f] >= 4), key=lambda x: (-x[0], x[1]))
         chosen = [f for s, f in ranked[:most] if s > 15]
-        place = {f: k for k, f in enumerate(chosen)}
+        place = {names[f]: k for k, f in enumerate(chosen)}
         x = np.zeros((n, len(chosen) + 1), np.float32)
         x[:, -1] = 1
-        for row, found in enumerate(sets):
-            for f in features(found):
-                if f in place:
-                    x[row, place[f]] = 1
+        for row, found in enumerate(rows):
+            x[row, [place[f] for k in found.tolist() for f in of_word[k] if f in place]] = 1
         w = fit(x, np.array(labels, np.float32))
         self.weights = {f: float(v) for f, v in zip(chosen, w[:-1], strict=True)}
         self.bias = float(w[-1])
@@ -253,15 +283,15 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 300) -
     w, before = np.zeros(x.shape[1], np.float64), np.zeros(x.shape[1], np.float64)
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 0
-    # The largest eigenvalue of x'x, by power iteration, bounds the curvature.
-    v = np.ones(x.shape[1])
+    # The largest eigenvalue of x'x, by power iteration, bounds the curvature. All products are of single precision, so x is not copied.
+    v = np.ones(x.shape[1], np.float32)
     for _ in range(30):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
     rate = 1 / (0.25 * np.linalg.norm(x @ v) ** 2 + penalty)
     for k in range(steps):
         ahead = w + k / (k + 3) * (w - before)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32), -60, 60)))
         before, w = w, ahead - rate * (x.T @ (p - y) + ridge * ahead)
     return w
 
