@@ -10,13 +10,18 @@ entity e (so many code points on either side),
 with document frequencies over all documents. A term is disclosing if its PMI is
 at least ``disclosure`` times IC(e), that is P(e | t) >= P(e) ** (1 - disclosure),
 and if it stands in at least ``support`` different contexts of e (so copies of one
-document prove nothing). In the contexts of e it then gets a span of kind
-``term``: generalised to its class, or, at ``removal`` times IC(e), removed.
+document prove nothing). Everywhere in the documents that hold e, near it or not, it
+then gets a span of kind ``term``: generalised to its class, or, at ``removal`` times
+IC(e), removed.
 
 Everything is DataFrame functions. Only documents with base spans enter the
 co-occurrence; its pairs grow with the number of spans, as contexts have a fixed
-width. Term frequencies are summed before they are shuffled. Documents are matched
-with their term spans by doc_id and a hash of the text.
+width (all pairs of a document's entities and terms would grow with the square of its
+length; a term that stands far from an entity in all documents is not assessed). Term
+frequencies are summed before they are shuffled. Disclosing pairs meet documents by
+their terms: P(e | t) beyond the threshold leaves a term few entities, while an entity
+may have very many documents. Documents are matched with their term spans by doc_id
+and a hash of the text.
 
 Inputs: null text counts as empty; repeated rows each get the spans of their text;
 null doc_ids are ids like any other; an empty table gives no rows; other columns
@@ -136,12 +141,22 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
-    """(entity, term, removed) of the terms beyond the threshold; ``near`` is contexts() of ``docs``."""
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a whole text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), lambda w: F.lower(w)))
+
+
+def holders(found: DataFrame) -> DataFrame:
+    """(id, text_hash, entity): which documents hold which entities."""
+    entities = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    return found.select("id", "text_hash", F.explode(entities).alias("entity"))
+
+
+def disclosing(docs: DataFrame, near: DataFrame, held: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+    """(entity, term, removed) of the terms beyond the threshold; ``near`` is contexts() and ``held`` holders() of ``docs``."""
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("id", "text_hash").alias("n_both"), F.count_distinct("context").alias("n_contexts")).where(F.col("n_contexts") >= support)
-    entities = near.groupBy("entity").agg(F.count_distinct("id", "text_hash").alias("n_entity"))
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(common.text_or_empty(), F.lit(TERM), 0), lambda w: F.lower(w)))
-    n_term = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    entities = held.groupBy("entity").agg(F.count_distinct("id", "text_hash").alias("n_entity"))
+    n_term = docs.select(F.explode(terms_of(common.text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     joined = pairs.join(entities, "entity").join(n_term, "term").join(F.broadcast(n_docs))  # one row
     p_entity = F.col("n_entity") / F.col("n_docs")
@@ -152,11 +167,24 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
 def term_spans(docs: DataFrame) -> DataFrame:
     """(id, text_hash, terms) for documents with disclosing terms; terms is array<struct<start,end,value,removed>>."""
     found = prepared(docs).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    near = common.stage(contexts(found), "pii-contexts")
-    beyond = disclosing(docs, near)
-    # Copies of a document and several entities may mark a term twice: once is enough.
-    hit = near.join(beyond, ["entity", "term"]).groupBy("id", "text_hash", "start", "end").agg(F.min("value").alias("value"), F.max("removed").alias("removed"))
-    return hit.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "removed"))).alias("terms"))
+    found = common.stage(found, "pii-documents")
+    near, held = common.stage(contexts(found), "pii-contexts"), holders(found)
+    beyond = common.stage(disclosing(docs, near, held), "pii-disclosing")
+    own = found.select("id", "text_hash", F.explode(terms_of(F.col("text"))).alias("term"))
+    met = own.join(beyond, "term")
+    # Ids may be null: equal then, too.
+    held = held.withColumnsRenamed({"id": "h_id", "text_hash": "h_hash", "entity": "h_entity"})
+    met = met.join(held, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")) & (F.col("entity") == F.col("h_entity")), "left_semi")
+    # At most the terms of one document.
+    met = met.groupBy("id", "text_hash", "term").agg(F.max("removed").alias("removed")).groupBy("id", "text_hash")
+    met = met.agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marks")).withColumnsRenamed({"id": "m_id", "text_hash": "m_hash"})
+    joined = found.dropDuplicates(["id", "text_hash"]).join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")))
+
+    def marked(text: Column, marks: Column) -> Column:
+        hit = F.filter(matches(text, TERM, "term", lambda m: F.lit(True)), lambda t: F.map_contains_key(marks, F.lower(t["value"])))
+        return F.transform(hit, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.element_at(marks, F.lower(t["value"])).alias("removed")))
+
+    return joined.select("id", "text_hash", marked(F.col("text"), F.col("marks")).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -214,11 +242,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Only documents with base spans meet the term spans; the others pass through without an exchange.
     """
-    rows = docs.withColumn("_base", base_spans(common.text_or_empty()))
-    clean = rows.where(F.size("_base") == 0).drop("_base")
-    found = rows.where(F.size("_base") > 0).withColumn("_hash", F.xxhash64("text"))
-    terms = term_spans(docs).withColumnsRenamed({"id": "_t_id", "text_hash": "_t_hash", "terms": "_terms"})
-    joined = found.join(terms, F.col("doc_id").eqNullSafe(F.col("_t_id")) & (F.col("_hash") == F.col("_t_hash")), "left")
+    base, hash_, t_id, t_hash, terms = common.free_names(docs, "base", "hash", "t_id", "t_hash", "terms")
+    rows = docs.withColumn(base, base_spans(common.text_or_empty()))
+    clean = rows.where(F.size(base) == 0).drop(base)
+    found = rows.where(F.size(base) > 0).withColumn(hash_, F.xxhash64("text"))
+    marked = term_spans(docs).withColumnsRenamed({"id": t_id, "text_hash": t_hash, "terms": terms})
+    joined = found.join(marked, F.col("doc_id").eqNullSafe(F.col(t_id)) & (F.col(hash_) == F.col(t_hash)), "left")
     none = F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>")
-    done = joined.withColumn("text", sanitised(F.col("text"), F.col("_base"), F.coalesce("_terms", none)))
+    done = joined.withColumn("text", sanitised(F.col("text"), F.col(base), F.coalesce(terms, none)))
     return clean.unionByName(done.select(*docs.columns))
