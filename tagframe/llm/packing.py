@@ -57,17 +57,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                data += end
-                n, start = len(data) // 4, 0
-                for length in cuts(n, capacity):
-                    part = data[4 * start : 4 * (start + length)]
-                    for column, value in zip(out, (doc_id, start, length, zlib.crc32(part), n, part if keep_ids else None), strict=True):
-                        column.append(value)
-                    start += length
-            yield pa.record_batch([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        try:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], [], []]
+                for doc_id, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                    data += end
+                    n, start = len(data) // 4, 0
+                    for length in cuts(n, capacity):
+                        part = data[4 * start : 4 * (start + length)]
+                        for column, value in zip(out, (doc_id, start, length, zlib.crc32(part), n, part if keep_ids else None), strict=True):
+                            column.append(value)
+                        start += length
+                yield pa.record_batch([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        finally:
+            encode.forget()
+            common.release()
 
     return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(cut, PIECES)
 
@@ -101,14 +105,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     four for each shuffle partition.
     """
     spark = docs.sparkSession
-    common.bounded_batches(spark)
     buckets = buckets or 4 * common.shuffle_width(spark)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     cut = common.stage(pieces(docs, tokenizer, capacity, end_id, keep_ids).select(*columns), "pieces")
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     per_bin = F.floor(F.lit(capacity) / F.col("length")).cast("long")
 
-    # At most (capacity / RECIPROCALS + RECIPROCALS) classes times ``buckets`` rows, whatever the input.
+    # Joined by (length, bucket), by which the pieces are numbered anyway.
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     by_class = W.partitionBy("length")
     counts = counts.select(
@@ -123,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     counts = counts.join(F.broadcast(classes), "length").drop("total")
 
     number = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    numbered = dealt.withColumn("number", number).join(F.broadcast(counts), ["length", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
+    numbered = dealt.withColumn("number", number).join(counts, ["length", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
     in_bin = F.floor(F.col("number") / per_bin).cast("long")
     numbered = numbered.withColumn("bin", in_bin)
     full = numbered.where("bin < bins").select(

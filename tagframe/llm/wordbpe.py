@@ -82,6 +82,10 @@ class Words(dict):
             self.parts[part] = ids
         return ids
 
+    def forget(self) -> None:
+        for words in (self, self.parts, self.old_words, self.old_parts):
+            words.clear()
+
     def age(self) -> None:
         if len(self) > KEPT_WORDS:
             self.old_words = dict(self)
@@ -92,7 +96,7 @@ class Words(dict):
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """texts -> their ids, little-endian unsigned 32-bit."""
+    """texts -> their ids, little-endian unsigned 32-bit; ``forget()`` empties the memory of words."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     words = Words(path)
 
@@ -103,4 +107,5 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             words.age()
         return out
 
+    encode.forget = words.forget
     return encode
