@@ -10,8 +10,8 @@ most (law ``rows``).
 Keys of one cell all see the same shards in the same order, so the walk needs
 only the number of keys of each cell: one row per cell, at most 2**cell_bits,
 goes to the driver. The walk gives each cell one or more ranges of ranks; keys
-are ranked within their cell, in parallel, and find their range by a join with
-at most 2**cell_bits + shards rows.
+are ranked within SALTS parts of their cell, in parallel, and find their range by a
+join with at most 2**cell_bits + shards rows.
 
 Null and repeated doc_ids are keys like any other (repeated rows get different
 slots), null text counts no bytes, an empty table gives no rows, other columns
@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CELL_BITS, VIRTUAL_NODES = 14, 64
+from tagframe.llm import common
+
+CELL_BITS, VIRTUAL_NODES, SALTS = 14, 64, 8
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES, cell_bits: int = CELL_BITS) -> list[int]:
@@ -76,14 +78,20 @@ def shard(rows: DataFrame, key: str, shards: int, virtual_nodes: int = VIRTUAL_N
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot", "home_shard")
-    cell = cell_of(F.col(key), cell_bits)
-    # At most 2**cell_bits rows.
-    counts = {r["_cell"]: r["_n"] for r in rows.select(cell.alias("_cell")).groupBy("_cell").agg(F.count("*").alias("_n")).collect()}
-    plan = spark.createDataFrame(walk(counts, shards, virtual_nodes, cell_bits), "_at int, shard int, _first long, _end long, _slot long")
-    homes = spark.createDataFrame(list(enumerate(ring(shards, virtual_nodes, cell_bits))), "_at int, home_shard int")
-    plan = plan.join(F.broadcast(homes), "_at")
-    order = W.partitionBy("_cell").orderBy(F.xxhash64(key), key, *[c for c in rows.columns if c != key])
-    ranked = rows.withColumn("_cell", cell).withColumn("_rank", F.row_number().over(order) - 1)
-    mine = (F.col("_cell") == F.col("_at")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
-    found = ranked.join(F.broadcast(plan), mine)
-    return found.select(*rows.columns, "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"), "home_shard")
+    cell, part, n, at, first, end, slot, rank, before, salt, of, home, into = common.free_names(rows, *(f"{x}_" for x in ("cell", "part", "n", "at", "first", "end", "slot", "rank", "before", "salt", "of", "home", "into")))
+    # A cell that many keys or one very frequent key share is ranked in parts.
+    salted = rows.withColumn(cell, cell_of(F.col(key), cell_bits)).withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    # At most SALTS * 2**cell_bits rows, and 2**cell_bits of them for the driver.
+    parts = common.stage(salted.groupBy(cell, salt).agg(F.count("*").alias(n)), "ring-cells")
+    counts = {r[cell]: r[n] for r in parts.groupBy(cell).agg(F.sum(n).alias(n)).collect()}
+    plan = spark.createDataFrame(walk(counts, shards, virtual_nodes, cell_bits), f"{of} int, {into} int, {first} long, {end} long, {slot} long")
+    homes = spark.createDataFrame(list(enumerate(ring(shards, virtual_nodes, cell_bits))), f"{of} int, {home} int")
+    plan = plan.join(F.broadcast(homes), of)
+    ahead = F.sum(n).over(W.partitionBy(cell).orderBy(salt)) - F.col(n)
+    parts = parts.select(F.col(cell).alias(at), F.col(salt).alias(part), ahead.alias(before))
+    order = W.partitionBy(cell, salt).orderBy(F.xxhash64(key), key, *[c for c in rows.columns if c != key])
+    ranked = salted.withColumn(rank, F.row_number().over(order) - 1)
+    ranked = ranked.join(parts, (F.col(cell) == F.col(at)) & (F.col(salt) == F.col(part))).withColumn(rank, F.col(rank) + F.col(before))
+    mine = (F.col(cell) == F.col(of)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end))
+    found = ranked.join(F.broadcast(plan), mine)  # at most 2**cell_bits + shards rows
+    return found.select(*rows.columns, F.col(into).alias("shard"), (F.col(slot) + F.col(rank) - F.col(first)).alias("slot"), F.col(home).alias("home_shard"))
