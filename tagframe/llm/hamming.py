@@ -123,7 +123,7 @@ def search_group(k: int):
     return search
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_codes: int = 1 << 14, block_queries: int = 1 << 10) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_codes: int = 1 << 14, block_queries: int = 1 << 12) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k nearest of ``rows`` (id, code) for each of ``queries`` (id, code)."""
     spark = rows.sparkSession
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).where("id IS NOT NULL AND code IS NOT NULL")
@@ -137,6 +137,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_codes: int = 1
     spread = lambda code, n, seed: F.pmod(F.xxhash64(code, F.lit(seed)), F.lit(n)).cast("int")
     left = entries.withColumn("shard", spread("code", shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", spread("q_code", blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # Dealt out here, as groups with little data and much work would else be merged into few tasks.
+    width = common.shuffle_width(spark)
+    left, right = left.repartition(width, "shard", "block"), right.repartition(width, "shard", "block")
     found = (
         left.groupBy("shard", "block")
         .cogroup(right.groupBy("shard", "block"))
