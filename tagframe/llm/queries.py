@@ -84,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.SCORE_SQL,
     "op3_multi_index_hashing": hamming.TOP_K_SQL,
+    "op6_ngram_jaccard_join": jaccard.JOIN_SQL,
+    "op9_event_sourced_chat": chat.SUMMARY_SQL,
 }

@@ -31,15 +31,15 @@ def near_copies(seed: int = 3) -> list[tuple[int, str]]:
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("case", ["near", "odd"])
-def test_jaccard(spark, case):
+@pytest.mark.parametrize(("case", "rows", "shingles", "hot"), [("near", 1024, 1 << 20, 1 << 17), ("near", 7, 1 << 20, 40), ("near", 1024, 900, 40), ("odd", 1024, 1 << 20, 1 << 17), ("odd", 2, 9, 1)])
+def test_jaccard(spark, case, rows, shingles, hot):
     if case == "near":
         data = near_copies()
         df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     else:
         data = [(d, t) for d, t, *_ in brute.odd_documents()]
         df = brute.documents(spark)
-    got = Counter(tuple(r) for r in jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect())
+    got = Counter(tuple(r) for r in jaccard.join(df, 5, rows, shingles, hot).select("doc_id", "n_shingles", "component_id").collect())
     assert got == Counter(brute.components(data))
     kept = jaccard.representatives(df)
     assert kept.columns == df.columns
@@ -75,15 +75,14 @@ def test_repeated_windows_core():
             assert got.tolist() == [seen[text[k : k + length]] > 1 for k in starts]
 
 
-@pytest.mark.parametrize(("length", "most"), [(400, 2048), (40, 2048), (40, 1)])
-def test_removed_bytes(spark, length, most, monkeypatch):
-    monkeypatch.setattr(suffixes.repeated_ranges, "__defaults__", (400, most, 1 << 14))
+@pytest.mark.parametrize(("length", "block"), [(400, 1 << 20), (400, 3000), (40, 1 << 14), (40, 400), (40, 50)])
+def test_removed_bytes(spark, length, block):
     data = [(d, t) for d, t, *_ in brute.odd_documents()] + [(100 + k, t) for k, t in near_copies()[:80]]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("first", F.lit(1))
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.digests(df, length).collect())
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.digests(df, length, block).collect())
     plain = brute.removed([t for _, t in data], length)
     assert got == Counter((d, n, g, s, brute.sha(k)) for (d, _), (n, g, s, k) in zip(data, plain, strict=True))
-    cut = Counter((r["doc_id"], r["text"] or "") for r in suffixes.remove(df, length).collect())
+    cut = Counter((r["doc_id"], r["text"] or "") for r in suffixes.remove(df, length, block).collect())
     assert cut == Counter((d, k.decode(errors="ignore")) for (d, _), (*_, k) in zip(data, plain, strict=True))
 
 
@@ -135,3 +134,33 @@ def test_pipeline_stages(spark, sf_dir):
             assert list(after[d] or "" for d in before) == [k.decode(errors="ignore") for *_, k in plain]
         if name == "pii_sanitisation":
             assert not any(brute.base_spans(t) for t in after.values())
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_stages_on_odd_tables(spark, sf_dir, rows):
+    docs = spark.createDataFrame(brute.odd_documents() if rows == "odd" else [], brute.SCHEMA).withColumn("key", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        columns, before = docs.columns, docs.count()
+        docs = common.stage(stage(spark, docs, sf_dir), name)
+        if name != "harmonic_packing":
+            assert docs.columns == columns and docs.count() <= before
+            assert docs.where("key <> 'x'").count() == 0
+    assert (docs.count() > 0) == (rows == "odd")
+
+
+def test_staged_tables_are_dropped(spark, sf_dir):
+    import os
+
+    common.drop_staged(spark)
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert 0 < len(common.STAGED) <= 6
+    paths = list(common.STAGED)
+    common.drop_staged(spark)
+    assert not common.STAGED and not any(os.path.exists(p) for p in paths)
+
+
+def test_session_settings_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    jaccard.join(brute.documents(spark)).count()
+    assert spark.conf.get(key) == before

@@ -53,6 +53,14 @@ def test_disclosing_terms(spark):
     assert len(clean) == len(texts) and "ana" not in clean[0].lower() and "[EMAIL]" in clean[0] and clean[100] == texts[100]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    far = " and so on" * 40
+    texts = [f"hello {k} Ana wrote from ana@example.com{far} Ana was here" for k in range(3)] + [f"hello {k}{far} text" for k in range(200)] + ["Ana alone"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("Ana" not in clean[k] for k in range(3)) and clean[203] == "Ana alone"
+
+
 def test_pii_edge_tables(spark):
     df = brute.documents(spark)
     assert pii.digests(df).count() == df.count() == pii.sanitise(df).count()
@@ -206,6 +214,57 @@ def test_restoring():
     assert toxicity.restore("river,", channel) == ("river",)
 
 
+def every_path(channel: toxicity.Channel, token: str) -> dict[str, float]:
+    """The best price of each last context, over all paths of the lattice."""
+    best: dict[str, float] = {}
+
+    def walk(k: int, said: str, price: float) -> None:
+        context = ("^^" + said)[-2:]
+        if k == len(token):
+            end = price + channel.step(context, "$")
+            best[context] = max(end, best.get(context, end))
+            return
+        sign = token[k]
+        options = [(c, toxicity.LEET_PRICE) for c in toxicity.LEET.get(sign, "")]
+        options += [(c, toxicity.WILD_PRICE) for c in channel.alphabet] if sign in toxicity.WILDCARDS else []
+        options += [(sign, 0.0)] if sign.isalpha() else []
+        if sign in toxicity.SEPARATORS or not options:
+            walk(k + 1, said, price + toxicity.DROP_PRICE)
+        if k and token[k - 1] == sign and said and said[-1] in {c for c, _ in options}:
+            walk(k + 1, said, price + toxicity.REPEAT_PRICE * (k > 1 and token[k - 2] != sign))
+        for c, extra in options:
+            walk(k + 1, said + c, price + extra + channel.step(context, c))
+
+    walk(0, "", 0.0)
+    return best
+
+
+def test_viterbi_against_all_paths():
+    channel = toxicity.Channel(Counter({"idiot": 9, "tote": 4, "lie": 2, "beta": 1}))
+    for token in ("1d10t", "t**e", "*#*", "b3..ta", "l1!e", "ttt0te", "i d ! o t", "é1!|", "+(€", "--"):
+        best = every_path(channel, token)
+        assert sorted(p for p, _ in channel.candidates(token)) == pytest.approx(sorted(best.values())), token
+
+
+def test_long_tokens():
+    channel = toxicity.Channel(Counter({"idiot": 9}))
+    for token in ("ab" * 500_000, "1" * 1_000_000, "x" * 1_000_000, "a" + "!" * 500_000, "ab" * 250_000 + "1"):
+        assert toxicity.parts(token)[0] == token.strip(toxicity.EDGES)
+    assert max(channel.candidates("i1" * 50_000))[1]
+
+
+def test_disguised_documents_are_found():
+    """The channel against the same model without it."""
+    insult = ["idiot", "moron", "stupid"]
+    texts = [f"you are such a {insult[k % 3]} as ever w{k}" for k in range(90)] + [f"nothing much to see here w{k}" for k in range(300)]
+    model = toxicity.Model(texts, [1] * 90 + [0] * 300)
+    said = ["1d10t", "m0r0n", "$tup1d", "i d i o t", "m.o.r.o.n", "stuuupid", "st*pid"]
+    nothing = model.score("you saw nothing", {})
+    assert all(model.score(f"you saw {w}", {}) > 5 * nothing for w in said)
+    plain = [toxicity.parts(w)[0] for w in said]
+    assert not any(f in model.weights for w in plain for f in toxicity.features([w]))
+
+
 def test_spaced_words_are_scored():
     texts = [f"you are an idiot w{k}" for k in range(40)] + [f"what an ass w{k}" for k in range(40)] + [f"so stupid w{k}" for k in range(40)] + [f"nothing to see here w{k}" for k in range(300)]
     model = toxicity.Model(texts, [1] * 120 + [0] * 300)
@@ -292,7 +351,40 @@ def test_shards(spark):
     again = {r["doc_id"]: r["shard"] for r in sharding.shard(df, "doc_id", 24).collect()}
     assert again == {r["doc_id"]: r["shard"] for r in got}
     grown = {r["doc_id"]: r["shard"] for r in sharding.shard(df, "doc_id", 25).collect()}
-    assert sum(grown[d] != s for d, s in again.items()) / len(again) < 0.35
+    assert sum(grown[d] != s for d, s in again.items()) / len(again) < 0.12
     odd = spark.createDataFrame([(None,), (None,), (1,), (1,), (1,)], "doc_id long")
     assert sorted(Counter(r["shard"] for r in sharding.shard(odd, "doc_id", 2).collect()).values()) == [2, 3]
     assert sharding.shard(odd.limit(0), "doc_id", 24).count() == 0
+
+
+def test_equal_keys_are_ranked_in_parts(spark):
+    df = spark.range(3000).select((F.col("id") * 0 + 7).alias("doc_id"), F.col("id").alias("size"))
+    got = sharding.shard(df, "doc_id", 5).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(5) for k in range(600)]
+
+
+def test_query_of_shards(spark, sf_dir):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = QUERIES["op10_bounded_ring_sharding"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got} == {d: (len(t) + 8, zlib.crc32(t), "rows", None) for d, t in texts.items()}
+
+
+# Names
+
+
+INNER = "id first n key gone some ranges base hash t_id t_hash terms cell_ part_ n_ at_ first_ end_ slot_ rank_ before_ salt_ of_ home_ into_ _key _gone _some _ranges _base _hash _terms _id _cell _rank text_key anchor vertex node tail spans entity r_id m pivot".split()
+
+
+@pytest.mark.parametrize("operator", ["sanitise", "remove", "representatives", "shard", "keep"])
+def test_other_columns_keep_their_names_and_values(spark, operator):
+    from tagframe.llm import jaccard, suffixes
+
+    def added(df):
+        return df.withColumns({n: F.concat(F.lit(n), F.lit(" of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in INNER})
+
+    run = {"sanitise": pii.sanitise, "remove": suffixes.remove, "representatives": jaccard.representatives, "shard": lambda d: sharding.shard(d, "doc_id", 3), "keep": quality.keep}[operator]
+    df = added(spark.createDataFrame(brute.odd_documents(), brute.SCHEMA))
+    got = run(df)
+    assert got.columns[: len(df.columns)] == df.columns
+    kept = got.collect()
+    assert kept and all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in kept for n in INNER)
