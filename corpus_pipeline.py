@@ -54,6 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = common.table(spark, sf_dir, "documents")
+    since = len(common.STAGED)
     for name, stage in STAGES[:-1]:
         docs = common.stage(stage(spark, docs, sf_dir), name)
+        common.drop_staged(spark, since, 1)  # what the stage wrote for itself, and the table before it
     return STAGES[-1][1](spark, docs, sf_dir)
