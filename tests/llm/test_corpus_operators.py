@@ -31,7 +31,7 @@ def near_copies(seed: int = 3) -> list[tuple[int, str]]:
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("case", "rows", "shingles", "hot"), [("near", 1024, 1 << 20, 1 << 17), ("near", 7, 1 << 20, 40), ("near", 1024, 900, 40), ("odd", 1024, 1 << 20, 1 << 17), ("odd", 2, 9, 1)])
+@pytest.mark.parametrize(("case", "rows", "shingles", "hot"), [("near", 1024, 1 << 20, 1 << 17), ("near", 7, 900, 40), ("odd", 2, 9, 1)])
 def test_jaccard(spark, case, rows, shingles, hot):
     if case == "near":
         data = near_copies()
@@ -75,7 +75,7 @@ def test_repeated_windows_core():
             assert got.tolist() == [seen[text[k : k + length]] > 1 for k in starts]
 
 
-@pytest.mark.parametrize(("length", "block"), [(400, 1 << 20), (400, 3000), (40, 1 << 14), (40, 400), (40, 50)])
+@pytest.mark.parametrize(("length", "block"), [(400, 1 << 20), (40, 400), (40, 50)])
 def test_removed_bytes(spark, length, block):
     data = [(d, t) for d, t, *_ in brute.odd_documents()] + [(100 + k, t) for k, t in near_copies()[:80]]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("first", F.lit(1))
