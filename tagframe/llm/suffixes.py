@@ -233,7 +233,6 @@ def in_block(length: int):
         i = np.flatnonzero(new)
         j = np.concatenate([i[1:], [len(owner)]]) - 1 if len(i) else i
         of = pa.array(owner[i])
-        common.release()
         return pa.table({"anchor": table.column("anchor").take(of), "context": table.column("context").take(of), "low": pa.array(within[i].astype(np.int32)), "high": pa.array(within[j].astype(np.int32))})
 
     return run
