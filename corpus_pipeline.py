@@ -20,8 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar word 5-grams one stays."""
-    return jaccard.representatives(docs)
+    """Of documents linked by similar word 5-grams one stays; passages of over 50 words that these still share are cut out."""
+    since = len(common.STAGED)
+    docs = common.stage(jaccard.representatives(docs), "representatives")
+    common.drop_staged(spark, since, 1)
+    return counted(suffixes.remove_passages(docs, words=51))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

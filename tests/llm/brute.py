@@ -86,6 +86,24 @@ def removed(texts: list[str | None], length: int) -> list[tuple[int, int, int, b
     return out
 
 
+def without_passages(texts: list[str | None], words: int) -> list[str]:
+    """Each text without the words covered by so many words that also start elsewhere, and the white space inside a removed run."""
+    found = [list(WORD.finditer(t or "")) for t in texts]
+    said = [[m[0] for m in ms] for ms in found]
+    seen = Counter(tuple(w[k : k + words]) for w in said for k in range(len(w) - words + 1))
+    out = []
+    for t, ms, w in zip(texts, found, said, strict=True):
+        gone = {j for k in range(len(w) - words + 1) if seen[tuple(w[k : k + words])] > 1 for j in range(k, k + words)}
+        kept, at = "", 0
+        for j, m in enumerate(ms):
+            if j in gone:
+                if j - 1 not in gone:
+                    kept += t[at : m.start()]
+                at = m.end()
+        out.append(kept + (t or "")[at:])
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, x in enumerate(reversed(digits)):

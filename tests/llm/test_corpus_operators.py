@@ -86,6 +86,30 @@ def test_removed_bytes(spark, length, block):
     assert cut == Counter((d, k.decode(errors="ignore")) for (d, _), (*_, k) in zip(data, plain, strict=True))
 
 
+@pytest.mark.parametrize(("words", "block"), [(51, 1 << 20), (6, 400), (6, 60)])
+def test_removed_passages(spark, words, block):
+    rng = random.Random(5)
+    passage = " ".join(f"ü{k % 7}" for k in range(52))  # over 50 words, under 400 bytes
+    around = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))) for _ in range(8)]
+    texts = [f"{a}\n{passage}\t{b}" for a, b in zip(around[::2], around[1::2], strict=True)] + [passage.replace(" ", "\n"), passage[3:], passage + " x"]
+    data = [(d, t) for d, t, *_ in brute.odd_documents()] + [(100 + k, t) for k, t in near_copies()[:40]] + [(300 + k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("first", F.lit(1))
+    got = suffixes.remove_passages(df, words, block)
+    assert got.columns == df.columns
+    plain = brute.without_passages([t for _, t in data], words)
+    assert Counter((r["doc_id"], r["text"] or "") for r in got.collect()) == Counter((d, t) for (d, _), t in zip(data, plain, strict=True))
+    assert suffixes.remove_passages(brute.empty(spark), words).count() == 0
+
+
+def test_pipeline_leaves_no_shared_passage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf_dir)
+    texts = [r["text"] or "" for r in docs.collect()]
+    passages = Counter(p for t in texts for w in [t.split()] for p in {tuple(w[k : k + 51]) for k in range(len(w) - 50)})
+    assert texts and max(passages.values()) == 1
+
+
 def test_removal_from_nothing(spark):
     assert suffixes.digests(brute.empty(spark)).count() == 0 and suffixes.remove(brute.empty(spark)).count() == 0
 
