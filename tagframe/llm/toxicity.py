@@ -56,6 +56,8 @@ SPLIT = re.compile(r"^[^\W_](?:[.\-_*~'`,][^\W_]){2,}$").match
 SINGLE = r"[^\W_]|[@$!|+(€]"
 #: Single characters between white space; quotes and brackets may stand before the first, punctuation behind the last.
 SPACED = re.compile(rf"(?<!\S)[\"'\[{{<]*+((?:{SINGLE})(?:\s+(?:{SINGLE})){{2,}})[\"'.,;:?!)\]}}>]*(?!\S)").findall
+#: The last two characters of such a run, without which there is none: a cheaper search.
+LAST_TWO = re.compile(rf"\s(?:{SINGLE})\s+(?:{SINGLE})[\"'.,;:?!)\]}}>]*(?!\S)").search
 WIDE, ALNUM = re.compile(r"\s\s+|[^\S ]").split, re.compile(r"[^\W_]").search
 LETTER, INNER_SIGN = re.compile(r"[^\W\d_]").search, re.compile(r"[0-9@$!|+(€*#]").search
 BEFORE, BEHIND = re.compile(r"[0-9@$!|+(€]++[^\W\d_]{2}").match, "0123456789@$!|+(€"
@@ -158,7 +160,7 @@ def tokens(text: str) -> set[str]:
 def spaced(low: str) -> set[str]:
     """Runs of three or more single characters, with one blank between: whole, and what wider gaps divide, each also without signs at its end."""
     out = set()
-    for run in SPACED(low):
+    for run in SPACED(low) if LAST_TWO(low) else ():
         for part in (run, *WIDE(run)):
             one = " ".join(part.split())
             for x in (one, one.rstrip(EDGES + " ")):
@@ -192,7 +194,7 @@ def restore(token: str, channel: Channel) -> tuple[str, ...]:
 def clean(token: str) -> str | None:
     """The word of a token as the language models count it."""
     word = token.strip(EDGES)
-    return word if word.isalpha() and not disguised(word) else None
+    return word if word.isalpha() and not TRIPLE(word) else None  # letters alone are disguised by nothing else
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -309,16 +311,22 @@ def gathered(docs: DataFrame) -> DataFrame:
         runs: set[str] = set()
 
         def said() -> pa.RecordBatch:
-            out: Counter = Counter()
+            words: dict[str, int] = {}
+            suspects: Counter = Counter()
             for token, n in met.items():
-                if word := clean(token):
-                    out[False, word] += n
-            for token in runs.union(met):
+                word = clean(token)
+                if word:
+                    words[word] = words.get(word, 0) + n
+                    if token[0].isalpha():  # as in parts()
+                        continue
+                runs.add(token)
+            for token in runs:
                 if (suspect := parts(token)[1]) is not None:
-                    out[True, suspect] += 1
+                    suspects[suspect] += 1
             met.clear()
             runs.clear()
-            return pa.record_batch([pa.array([k[0] for k in out], pa.bool_()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["suspect", "token", "n"])
+            kinds = [False] * len(words) + [True] * len(suspects)
+            return pa.record_batch([pa.array(kinds, pa.bool_()), pa.array([*words, *suspects], pa.string()), pa.array([*words.values(), *suspects.values()], pa.int64())], names=["suspect", "token", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -385,33 +393,43 @@ def score(docs: DataFrame, model: Model, known: DataFrame) -> DataFrame:
     """doc_id and score of every document; ``known`` is decoded() of the corpus."""
     names = sorted(model.weights)
     place = {f: k for k, f in enumerate(names)}
+    heads = {f[:4] for f in names if f.endswith("-")}
 
-    def places(words: Iterable[str]) -> list[int]:
-        return sorted(place[f] for f in features(words) if f in place)
+    def places(word: str) -> list[int]:
+        if word[:4] in heads:
+            return sorted(place[f] for f in features([word]) if f in place)
+        return [place[word]] if word in place else []
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[list[int], str | None]] = {}
+        # All tokens met, and what those are that tell something.
+        seen: set[str] = set()
+        telling: dict[str, tuple[list[int], str | None]] = {}
         for batch in batches:
             plain, suspects = [], []
             for text in batch.column(1).to_pylist():
+                said = tokens(text)
+                fresh = said - seen
+                seen |= fresh
+                for token in fresh:
+                    word, suspect = parts(token)
+                    if (at := places(word)) or suspect is not None:
+                        telling[token] = (at, suspect)
                 found, open_ = set(), set()
-                for token in tokens(text):
-                    met = seen.get(token)
-                    if met is None:
-                        word, suspect = parts(token)
-                        met = seen[token] = (places([word]), suspect)
-                    found.update(met[0])
-                    if met[1] is not None:
-                        open_.add(met[1])
+                for token in said & telling.keys():
+                    at, suspect = telling[token]
+                    found.update(at)
+                    if suspect is not None:
+                        open_.add(suspect)
                 plain.append(sorted(found))
                 suspects.append(sorted(open_))
                 if len(seen) > KEPT_WORDS:
                     seen.clear()
+                    telling.clear()
             yield pa.record_batch([batch.column(0), pa.array(plain, pa.list_(pa.int32())), pa.array(suspects, pa.list_(pa.string()))], names=["doc_id", "plain", "suspects"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(t, f) for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (f := places([m]))]
+            out = [(t, f) for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (f := places(m))]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], names=["token", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(read, "doc_id long, plain array<int>, suspects array<string>")

@@ -388,3 +388,23 @@ def test_other_columns_keep_their_names_and_values(spark, operator):
     assert got.columns[: len(df.columns)] == df.columns
     kept = got.collect()
     assert kept and all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in kept for n in INNER)
+
+
+def test_plain_text_takes_the_short_ways(monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    odd = ["".join(rng.choice('ab1@ .!(_*\n\tàß²"x') for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    for text in odd:
+        assert bool(toxicity.SPACED(text)) <= bool(toxicity.LAST_TWO(text))
+        for token in text.split():
+            word = token.strip(toxicity.EDGES)
+            assert toxicity.clean(token) == (word if word.isalpha() and not toxicity.disguised(word) else None)
+
+    def never(x):
+        raise AssertionError(x)
+
+    monkeypatch.setattr(toxicity, "SPACED", never)
+    monkeypatch.setattr(toxicity, "disguised", never)
+    assert toxicity.spaced("this is a plain text, and i see no run in it") == set()
+    assert toxicity.clean('"plain,') == "plain"
