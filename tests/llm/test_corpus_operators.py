@@ -75,6 +75,22 @@ def test_repeated_windows_core():
             assert got.tolist() == [seen[text[k : k + length]] > 1 for k in starts]
 
 
+@pytest.mark.parametrize("tripled", [0, 1 << 21])
+def test_settled_suffixes_are_not_sorted_again(monkeypatch, tripled):
+    rng = random.Random(7)
+    once = rng.randbytes(20_000)
+    text = np.frombuffer(once + once[100:700] + b"ab" * 300, np.uint8)
+    sorted_ = []
+    argsort = np.argsort
+    monkeypatch.setattr(suffixes, "TRIPLED", tripled)
+    monkeypatch.setattr(suffixes.np, "argsort", lambda a, **more: sorted_.append(len(a)) or argsort(a, **more))
+    order = suffixes.suffix_order(text, 400)
+    data = text.tobytes()
+    prefixes = [data[k : k + 400] for k in order]
+    assert prefixes == sorted(prefixes) and sorted(order.tolist()) == list(range(len(data)))
+    assert sorted_[0] == len(data) and sum(sorted_[1:]) < len(data)
+
+
 @pytest.mark.parametrize(("length", "block"), [(400, 1 << 20), (40, 400), (40, 50)])
 def test_removed_bytes(spark, length, block):
     data = [(d, t) for d, t, *_ in brute.odd_documents()] + [(100 + k, t) for k, t in near_copies()[:80]]
