@@ -24,7 +24,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     since = len(common.STAGED)
     docs = common.stage(jaccard.representatives(docs), "representatives")
     common.drop_staged(spark, since, 1)
-    return counted(suffixes.remove_passages(docs, words=51))
+    docs = suffixes.remove_passages(docs, words=51)
+    common.drop_staged(spark, since, 1)  # the representatives
+    return counted(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

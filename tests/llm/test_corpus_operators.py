@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -199,6 +200,29 @@ def test_staged_tables_are_dropped(spark, sf_dir):
     assert not common.STAGED and not any(os.path.exists(p) for p in paths)
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.jaccard_join, corpus_pipeline.suffix_dedup])
+def test_a_stage_leaves_only_what_its_result_reads(spark, sf_dir, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    common.drop_staged(spark)
+    out = stage(spark, docs, sf_dir)
+    assert len(common.STAGED) == 1 and all(common.STAGED[0] in f for f in out.inputFiles()) and out.count() > 0
+    common.drop_staged(spark)
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    def files() -> set[str]:
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f}
+
+    before = files()
+    df = common.stage(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counts")
+    end = time.time() + 10
+    while files() - before and time.time() < end:  # they go in the background
+        time.sleep(0.1)
+    assert not files() - before and df.count() == 7
+    common.drop_staged(spark)
+
+
 def test_session_settings_stay(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
