@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagframe.functions import binary, catalog, convert, encode
-from tagframe.operators import directory
+from tagframe.operators import directory, image
 
 FIXTURES = Path(__file__).resolve().parent.parent / "FIXTURES.md"
 ROW = re.compile(r"^\| (\d+) \| (classic|big) \| (LE|BE) \| `([0-9a-f]+)` \| (\w+) \| (\d+) \| (.*) \|$")
@@ -189,3 +189,12 @@ def test_lists_of_values(spark):
     one, other = encode.scalar("SHORT", F.lit(1)), encode.scalar("LONG", F.lit(1))
     got = spark.range(1).select(convert.list_type(F.array(F.lit(3), F.lit(4))).alias("mixed"), convert.list_type(F.array().cast("array<int>")).alias("none"), encode.entry_list(F.array(one, other))["error"].alias("error")).first()
     assert tuple(got) == (7, 7, "InvalidTag")
+
+
+def test_elements_are_not_cut_out_of_a_column(spark):
+    """A row copies all bytes of a list whenever they are read, so that must not happen for each element."""
+    entries = spark.range(3).select("id", encode.array("LONG8", F.sequence(F.lit(0).cast("bigint"), F.col("id"))).alias("e"))
+    got = entries.select("id", image.unsigned_list(F.col("e")).alias("x"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"substring\((\w+)", plan) == ["lambda"]
+    assert [[int(v) for v in r["x"]["value"]] for r in got.orderBy("id").collect()] == [[0], [0, 1], [0, 1, 2]]
