@@ -198,3 +198,18 @@ def test_elements_are_not_cut_out_of_a_column(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert re.findall(r"substring\((\w+)", plan) == ["lambda"]
     assert [[int(v) for v in r["x"]["value"]] for r in got.orderBy("id").collect()] == [[0], [0, 1], [0, 1, 2]]
+
+
+def test_chunk_lists_are_decoded_in_pages(spark):
+    """1,100 strips, so three pages, with offsets up to 2^64 - 1; elements of every width."""
+    n = 1100
+    offsets = [(1 << 64) - 1 - k if k % 3 == 0 else k for k in range(n)]
+    tags = [(256, "SHORT", [40]), (257, "LONG", [n]), (262, "SHORT", [1]), (278, "SHORT", [1]), (273, "LONG8", offsets)]
+    sizes = {1: ("BYTE", [k % 256 for k in range(n)]), 2: ("SHORT", [60 * k % 65536 for k in range(n)]), 3: ("LONG", [3900000 * k for k in range(n)])}
+    wide = {"BYTE": 1, "SHORT": 2, "LONG": 4, "LONG8": 8}
+    made = [(k, pos, tag, catalog.TYPE[t], str(len(v)), b"".join(x.to_bytes(wide[t], "big") for x in v)) for k, s in sizes.items() for pos, (tag, t, v) in enumerate([*tags, (279, *s)])]
+    e = spark.createDataFrame(made, "k int, entry_pos int, tag int, type_code int, count string, data binary").withColumns({"count": F.col("count").cast("decimal(20,0)"), "offset": F.lit(None).cast("decimal(20,0)")})
+    found = image.chunks(image.images(e, ["k"], layout=True), ["k"])
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.orderBy("k", "chunk").collect()
+    assert [(r["k"], r["chunk"], r["row"], r["col"], r["plane"], int(r["offset"]), int(r["byte_count"])) for r in rows] == [(k, i, i, 0, 0, offsets[i], v[i]) for k, (_, v) in sizes.items() for i in range(n)]
