@@ -2,8 +2,8 @@
 
 Parsing is a projection and one Generate over the entry numbers: entry k lies at
 header + k * stride, so no cursor is needed and rows are independent. Lookups are
-joins with a list of wanted tags; the list is a literal of at most a few dozen
-rows and therefore always broadcast.
+joins with the directories asked for times a literal list of at most a few dozen
+tags; both sides grow with the input, so neither is ever broadcast.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def get_tag_value(found: DataFrame) -> DataFrame:
 def contains_tag(df: DataFrame, entries: DataFrame, keys: list[str], tag: int) -> DataFrame:
     """``df`` keys with ``contains``; one partial aggregation of entries, then a join on the keys."""
     has = entries.groupBy(*keys).agg(F.bool_or(F.col("tag") == tag).alias("contains"))
-    return df.select(*keys).join(has, keys, "left").withColumn("contains", F.coalesce("contains", F.lit(False)))
+    return df.select(*keys).join(has.hint("merge"), keys, "left").withColumn("contains", F.coalesce("contains", F.lit(False)))
 
 
 def upsert(entries: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame:
