@@ -119,7 +119,7 @@ def wanted(df: DataFrame, entries: DataFrame, keys: list[str], tags: list[int])
     """A row for each directory of ``df`` (keys) and each wanted tag, with the entry if there is one, and ``present``."""
     asked = df.select(*keys, F.explode(F.array(*[F.lit(t) for t in tags])).alias("tag"))
     found = entries.where(F.col("tag").isin(tags)).withColumn("present", F.lit(True))
-    return asked.join(found, [*keys, "tag"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    return asked.join(found.hint("merge"), [*keys, "tag"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def tag_name(tag: Column) -> Column:
